@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from rangewise.llm.language_id import op9_language_id
 from rangewise.llm.token_counts import op8_token_counts
 
 
 def queries() -> dict:
-    return {"op8_token_counts": op8_token_counts}
+    return {"op8_token_counts": op8_token_counts, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
