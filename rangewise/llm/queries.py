@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from rangewise.llm.decontaminate import op7_decontaminate
 from rangewise.llm.language_id import op9_language_id
+from rangewise.llm.secret_scan import op3_secret_scan
 from rangewise.llm.token_counts import op8_token_counts
 
 
 def queries() -> dict:
-    return {"op8_token_counts": op8_token_counts, "op9_language_id": op9_language_id}
+    return {f.__name__: f for f in (op3_secret_scan, op7_decontaminate, op8_token_counts, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
