@@ -6,10 +6,11 @@ from rangewise.llm.decontaminate import op7_decontaminate
 from rangewise.llm.language_id import op9_language_id
 from rangewise.llm.secret_scan import op3_secret_scan
 from rangewise.llm.token_counts import op8_token_counts
+from rangewise.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_secret_scan, op7_decontaminate, op8_token_counts, op9_language_id)}
+    return {f.__name__: f for f in (op3_secret_scan, op6_toxicity, op7_decontaminate, op8_token_counts, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
