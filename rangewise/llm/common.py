@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 #: Characters (or bytes) of text worked on together.
 SLICE_BYTES = 4 << 20
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +60,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's default of 10,000 rows an Arrow batch, which whole
+    texts make too large, ask for fewer; a session's own setting stays."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, "1000")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
     """Pieces of at most SLICE_ROWS rows and about SLICE_BYTES of the text column;
     a single longer text is a piece by itself."""
@@ -100,4 +108,5 @@ def over_texts(
             columns = [part.column(0), *(part.column(2 + k) for k in range(len(more))), *(v if isinstance(v, pa.Array) else pa.array(v) for v in out.values())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *more, *out])
 
+    small_batches(docs.sparkSession)
     return ids.mapInArrow(run, f"doc_id {id_type}, {kept}{schema}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewise.llm.common import over_texts, table
+from rangewise.llm.common import over_texts, slices, small_batches, table
 
 #: Characters that may lie between the parts of one credential.
 GAP = 200
@@ -163,13 +163,12 @@ def redacted(docs: DataFrame, gap: int = GAP, text_col: str = "text") -> DataFra
     at = schema.fieldNames().index(text_col)
 
     def run(batches):
-        from rangewise.llm.common import slices
-
         for part in slices(batches, at):
             texts = [t if t is None else redact_text(t, scan_text(t, gap)[0]) for t in part.column(at).to_pylist()]
             columns = [pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(part.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
