@@ -93,10 +93,11 @@ def over_texts(
     more: tuple[str, ...] = (),
 ) -> DataFrame:
     """One narrow pass over (id, text): work gets the UTF-8 texts of a slice and
-    returns the other columns of schema. No shuffle; other columns are pruned."""
+    returns the other columns of schema. The columns in `more` pass through. No shuffle;
+    other columns are pruned."""
     ids = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
-        F.col(f"`{text_col}`").cast("binary").alias("text"),
+        F.col(f"`{text_col}`").cast("binary").alias("\x1ftext"),
         *[F.col(f"`{c}`") for c in more],
     )
     id_type = ids.schema["doc_id"].dataType.simpleString()

@@ -100,13 +100,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iter
         yield sorted(((r["item_id"], bytes(r["text"])) for r in own.collect()), key=lambda r: (str(r[0]), r[1]))
 
 
-def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_words, hits, items) for every row: hits are merged word spans, ends
+def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, n_words, hits, items) for every row: hits are merged word spans, ends
     exclusive, items the sorted ids of items with a pattern there.
 
     Null texts have no words. Items with a null id or text have no patterns; repeated
     items count once. An empty benchmark hits nothing. One row out per row in, repeated
-    and null ids too; columns other than id and text are not read."""
+    and null ids too; columns other than id, text and `keep` are not read."""
     spark = docs.sparkSession
     item_type = benchmark.schema[item_col].dataType
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_type.simpleString(), pa.string())
@@ -133,7 +133,7 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
         }
 
     named = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string"}[kind]
-    return over_texts(docs, work, f"n_words long, hits array<struct<start: int, end: int>>, items array<{named}>", id_col, text_col)
+    return over_texts(docs, work, f"n_words long, hits array<struct<start: int, end: int>>, items array<{named}>", id_col, text_col, keep)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

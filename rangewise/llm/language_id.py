@@ -167,12 +167,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(rows, labels) if labels else None
 
 
-def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) for every row, in one narrow pass over whole texts.
+def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, lang_pred, score) for every row, in one narrow pass over whole texts.
 
     und with score 0 for null texts and texts without a letter, and for all where
     there was nothing to learn from. Ties go to the first label. Repeated rows and null
-    ids give a row each; columns other than id and text are not read."""
+    ids give a row each; columns other than id, text and `keep` are not read."""
 
     def work(texts):
         seen = [network is not None and has_letter(t) for t in texts]
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                 names[k], scores[k] = network.labels[int(p.argmax())], min(1.0, float(p.max()))
         return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
 
-    return over_texts(docs, work, "lang_pred string, score double", id_col, text_col)
+    return over_texts(docs, work, "lang_pred string, score double", id_col, text_col, keep)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

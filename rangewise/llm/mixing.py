@@ -20,8 +20,11 @@ from rangewise.llm.common import table, written
 
 #: Blocks of a source, and sub-blocks of the block that crosses its target.
 BLOCKS, SUBBLOCKS = 1024, 1024
-#: Levels of the splitting tree: 2 ** LEVELS output shards.
-LEVELS = 3
+#: Levels of the splitting tree, 2 ** LEVELS output shards, at least; and words that a
+#: shard is to have at most. Blocks of a source grow with the shards.
+LEVELS, SHARD_WORDS = 3, 1 << 26
+#: Files that a shard is written as.
+PIECES = 4
 WEIGHTS, MOST, SEED = (1.0, 2.0, 3.0), 3, 20
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,7 +117,7 @@ def _filled(cells: DataFrame, scope: list[str], cell: str, need: str, salt: int)
     return cells.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col(need) - before)))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, levels: int = LEVELS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, levels: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, size, source_size, target, takes) for every row; takes lists
     (pass, shard, words, key): words 0 means that the pass leaves the document out, words
     below size that it takes that many first words; key orders a shard.
@@ -125,8 +128,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     src = F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("null"))  # '=' sorts before 'n'
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in keep], src.alias("src"), words_in(F.col(f"`{text_col}`")).alias("size"))
     dealt = F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size")
-    own = own.withColumn("block", F.pmod(dealt, F.lit(BLOCKS)).cast("int")).withColumn("sub", F.pmod(F.shiftright(dealt, 20), F.lit(SUBBLOCKS)).cast("int"))
-    own = written(own)
+    own = written(own.withColumn("dealt", dealt))
+    if levels is None:
+        total = own.agg(F.sum("size")).first()[0] or 0
+        levels = max(LEVELS, (-(-total // SHARD_WORDS) - 1).bit_length())
+    n_blocks = BLOCKS << max(0, levels - LEVELS)
+    own = own.withColumn("block", F.pmod("dealt", F.lit(n_blocks)).cast("int")).withColumn("sub", F.pmod(F.shiftright("dealt", 36), F.lit(SUBBLOCKS)).cast("int"))
 
     blocks = written(own.groupBy("src", "block").agg(F.sum("size").alias("size")))
     goal = targets(blocks.groupBy("src").agg(F.sum("size").alias("source_size")), weights, most)
@@ -171,11 +178,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     return every.select("doc_id", *keep, "size", "source_size", "target", F.transform("items", take).alias("takes"))
 
 
-def shards(mixed: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """The mix itself, a row for each document and pass taken: by shard, in each one's order."""
+def shards(mixed: DataFrame) -> DataFrame:
+    """The mix itself, a row for each document and pass taken: by shard, each one in
+    PIECES parts, rows in the order of their hash."""
     rows = mixed.withColumn("take", F.explode("takes")).filter("take.words > 0")
-    rows = rows.select("take.shard", "take.key", "take.pass", *[c for c in mixed.columns if c != "takes"], F.col("take.words").alias("words"))
-    return rows.repartition(2**levels, "shard").sortWithinPartitions("shard", "key")
+    rows = rows.select("take.shard", F.pmod("take.key", F.lit(PIECES)).cast("int").alias("piece"), "take.key", "take.pass", *[c for c in mixed.columns if c != "takes"], F.col("take.words").alias("words"))
+    return rows.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "key")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
