@@ -35,6 +35,8 @@ from rangewise.llm.common import over_texts, slices, small_batches, table, writt
 WINDOW, GRAM = 50, 8
 #: Regions that a shard is meant to have, and that one anchor may have in its shard.
 SHARD, HOT = 1500, 6000
+#: Regions whose texts a task holds before it gives them out.
+HELD = 20_000
 _SEED = 5
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -93,14 +95,29 @@ def _surveyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _regions(flagged: DataFrame) -> DataFrame:
-    """(doc_id, key, start, anchor, region, text): the runs of windows that selected a
-    recurring anchor; start is the first window's, region names the text."""
+    """Rows of two kinds. Occurrences (doc_id, key, start, region): the runs of windows
+    that selected a recurring anchor; start is the first window's, region names the text.
+    Texts (region, anchor, text, low, high), one for each region that a task has met."""
     hasher: list[Hasher] = []
-    names = ["doc_id", "key", "start", "anchor", "region", "text"]
+    doc_type = flagged.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher or hasher.append(Hasher())
+        seen: dict[bytes, list] = {}
+
+        def made(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            kinds = [kind, pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), kind, kind]
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "key", "start", "region", "anchor", "text", "low", "high"])
+
+        def texts() -> list[tuple]:
+            out = [(None, None, None, region, anchor, text, low, high) for region, (anchor, text, low, high) in seen.items()]
+            seen.clear()
+            return out
+
+        kind = None
         for part in slices(batches, 2):
+            kind = part.schema.field(0).type
             rows: list[tuple] = []
             for doc, key, text, recurring in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 words = text.split()
@@ -110,14 +127,18 @@ def _regions(flagged: DataFrame) -> DataFrame:
                 own = grams[place[starts]]
                 for k in np.flatnonzero(np.isin(own, np.array(recurring, np.int64))):
                     joined = b" ".join(words[starts[k] : ends[k] + WINDOW - 1])
-                    rows.append((doc, key, int(starts[k]), int(own[k]), xxhash.xxh3_128_digest(joined), joined))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [part.schema.field(0).type, pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                    region = xxhash.xxh3_128_digest(joined)
+                    rows.append((doc, key, int(starts[k]), region, None, None, None, None))
+                    met = seen.setdefault(region, [int(own[k]), joined, doc, doc])
+                    met[2], met[3] = min(met[2], doc), max(met[3], doc)
+            if len(seen) > HELD:
+                rows += texts()
+            yield made(rows, kind)
+        if seen:
+            yield made(texts(), kind)
 
     small_batches(flagged.sparkSession)
-    kind = flagged.schema["doc_id"].dataType.simpleString()
-    return flagged.select("doc_id", "key", "text", "recurring").mapInArrow(run, f"doc_id {kind}, key binary, start int, anchor long, region binary, text binary")
+    return flagged.select("doc_id", "key", "text", "recurring").mapInArrow(run, f"doc_id {doc_type}, key binary, start int, region binary, anchor long, text binary, low {doc_type}, high {doc_type}")
 
 
 def located(texts: list[bytes], low: list, high: list) -> list[list[tuple[int, int, object]]]:
@@ -172,59 +193,72 @@ def _found(regions: DataFrame, kind: str) -> DataFrame:
 
 
 def _windows_of(regions: DataFrame) -> DataFrame:
-    """(region, at, window, text, low, high): regions cut into single windows."""
+    """(region, at, window, low, high): the hashes of the regions' windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             rows = []
             for region, text, low, high in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 words = text.split(b" ")
-                for k in range(len(words) - WINDOW + 1):
-                    own = b" ".join(words[k : k + WINDOW])
-                    rows.append((region, k, xxhash.xxh3_128_digest(own), own, low, high))
-            kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), part.schema.field(2).type, part.schema.field(2).type]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names=["region", "at", "window", "text", "low", "high"])
+                rows += [(region, k, xxhash.xxh3_128_digest(b" ".join(words[k : k + WINDOW])), low, high) for k in range(len(words) - WINDOW + 1)]
+            kinds = [pa.binary(), pa.int32(), pa.binary(), part.schema.field(2).type, part.schema.field(2).type]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=["region", "at", "window", "low", "high"])
 
     kind = regions.schema["low"].dataType.simpleString()
-    return regions.select("region", "text", "low", "high").mapInArrow(run, f"region binary, at int, window binary, text binary, low {kind}, high {kind}")
+    small_batches(regions.sparkSession)
+    return regions.select("region", "text", "low", "high").mapInArrow(run, f"region binary, at int, window binary, low {kind}, high {kind}")
+
 
+def _merged(texts: DataFrame, by: str) -> DataFrame:
+    """Distinct regions, dealt by the shard in `by`: the texts move once, as the
+    aggregation and the shards' groups need no other partitioning."""
+    dealt = texts.repartition(by)
+    return dealt.groupBy(by, "region").agg(F.first("text").alias("text"), F.min("low").alias("low"), F.max("high").alias("high"))
 
-def _all_runs(distinct: DataFrame, kind: str, shard: int, hot: int) -> DataFrame:
-    """(region, runs) for all distinct regions (anchor, region, text, low, high)."""
-    n = distinct.count()
-    crowded = written(distinct.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"))
+
+def _all_runs(texts: DataFrame, kind: str, shard: int, hot: int) -> DataFrame:
+    """(region, runs) for all regions of texts (region, anchor, text, low, high)."""
+    sizes = written(texts.select("anchor", "region").distinct().groupBy("anchor").count())
+    n = sizes.agg(F.sum("count")).first()[0] or 0
     named = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-n // shard)))).cast("int")
+    crowded = sizes.filter(F.col("count") > hot).select("anchor")
     if crowded.isEmpty():
-        return _found(distinct.withColumn("shard", named), kind)
-    plain = _found(distinct.join(crowded, "anchor", "left_anti").withColumn("shard", named), kind)
-    # equal windows have one hash: dealt by it they still meet, and no group is larger than its windows are many
-    cut = written(_windows_of(distinct.join(crowded, "anchor", "left_semi")))
-    windows = written(cut.groupBy("window").agg(F.first("text").alias("text"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high"))
+        return _found(_merged(texts.withColumn("shard", named), "shard"), kind)
+    crowded = written(crowded)
+    plain = _found(_merged(texts.join(crowded, "anchor", "left_anti").withColumn("shard", named), "shard"), kind)
+    # equal windows have one hash: counted by it, those of a single document fall away, and
+    # one region lends each of the others its text for the automata
+    own = texts.join(crowded, "anchor", "left_semi")
+    cut = written(_windows_of(own))
+    windows = cut.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.struct("region", "at")).alias("of")).filter("low < high")
+    windows = written(windows.select("window", "low", "high", "of.region", "of.at"))
     shards = max(1, -(-windows.count() // shard))
-    single = _found(windows.select(F.col("window").alias("region"), "text", "low", "high", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int").alias("shard")), kind)
-    single = single.select(F.col("region").alias("window"), F.col("runs")[0]["first"].alias("first"))
-    back = cut.join(single, "window").groupBy("region").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"), "first")).alias("runs"))
+    lent = own.select("region", "text").join(windows, "region").dropDuplicates(["window"])
+    words = F.array_join(F.slice(F.split(F.col("text").cast("string"), " "), F.col("at") + 1, WINDOW), " ").cast("binary")
+    single = lent.select(F.col("window").alias("region"), words.alias("text"), "low", "high", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int").alias("shard"))
+    single = _found(single, kind).select(F.col("region").alias("window"), F.col("runs")[0]["first"].alias("first"))
+    back = cut.select("region", "at", "window").distinct().join(single, "window").groupBy("region").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"), "first")).alias("runs"))
     return plain.unionByName(back)
 
 
 def _kept(flagged: DataFrame) -> DataFrame:
-    """(key, n_removed, kept_sha256) of texts with their located runs."""
+    """(doc_id, key, n_removed, kept_sha256) of texts with their located runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            keys, removed, digests = [], [], []
-            for key, text, spans in zip(*(c.to_pylist() for c in part.columns), strict=True):
+        for part in slices(batches, 2):
+            removed, digests = [], []
+            for text, spans in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 words = text.split()
                 keep = np.ones(len(words), bool)
                 for span in spans:
                     keep[span["a"] : span["b"] + WINDOW] = False
-                keys.append(key)
                 removed.append(int((~keep).sum()))
                 digests.append(hashlib.sha256(b" ".join(w for w, k in zip(words, keep, strict=True) if k)).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["key", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc_id", "key", "n_removed", "kept_sha256"])
 
     small_batches(flagged.sparkSession)
-    return flagged.select("key", "text", "spans").mapInArrow(run, "key binary, n_removed long, kept_sha256 string")
+    kind = flagged.schema["doc_id"].dataType.simpleString()
+    return flagged.select("doc_id", "key", "text", "spans").mapInArrow(run, f"doc_id {kind}, key binary, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, hot: int = HOT) -> DataFrame:
@@ -238,22 +272,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     base = written(_surveyed(docs, id_col, text_col))
     able = base.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
     classes = written(able.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-    firsts = able.join(classes, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("doc_id", "key", F.explode("anchors").alias("anchor"))
+    firsts = able.join(classes, ["key", "doc_id"], "left_semi").select("doc_id", F.explode("anchors").alias("anchor"))
     recurring = firsts.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    flags = written(firsts.join(recurring, "anchor", "left_semi").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("recurring")))
+    flags = written(firsts.join(recurring, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("recurring")))
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    own_key = _keyed(texts.join(flags.select("doc_id").distinct(), "doc_id", "left_semi"))
-    flagged = written(own_key.join(flags, ["doc_id", "key"]).dropDuplicates(["key"]))
+    flagged = written(_keyed(texts.join(flags, "doc_id")))
     regions = written(_regions(flagged))
-    distinct = written(regions.groupBy("anchor", "region").agg(F.first("text").alias("text"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
-    runs = written(_all_runs(distinct, kind, shard, hot))
-    at = regions.select("doc_id", "key", "start", "region").join(runs, "region")
+    runs = written(_all_runs(regions.filter("text is not null").select("region", "anchor", "text", "low", "high"), kind, shard, hot))
+    at = regions.filter("text is null").select("doc_id", "key", "start", "region").join(runs, "region")
     earlier = F.filter("runs", lambda r: r["first"] < F.col("doc_id"))
     at = at.withColumn("spans", F.transform(earlier, lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))).filter(F.size("spans") > 0)
-    spans = at.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # of one text each
-    cut = flagged.select("key", "text").join(spans, "key")
-    kept = written(_kept(cut)).join(spans, "key")
-    classes = classes.withColumnRenamed("doc_id", "first_id").join(kept, "key", "left")
+    spans = written(at.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")))  # of one text each
+    kept = _kept(flagged.select("doc_id", "key", "text").join(spans, ["doc_id", "key"])).dropDuplicates(["doc_id", "key"]).join(spans, ["doc_id", "key"])
+    classes = classes.join(kept, ["key", "doc_id"], "left").withColumnRenamed("doc_id", "first_id")
     rows = base.drop("anchors").join(classes, "key", "left")
     copy = F.coalesce((F.col("n_words") >= WINDOW) & (F.col("doc_id") > F.col("first_id")), F.lit(False))
     same = F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False)) & F.col("n_removed").isNotNull()
@@ -267,16 +298,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
 
 def _keyed(texts: DataFrame) -> DataFrame:
-    """Adds the key of the words: ids need not be unique."""
+    """Adds the key of the words (ids need not be unique); texts of too few words go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            keys = [xxhash.xxh3_128_digest(b" ".join(t.split() if t else [])) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], names=["doc_id", "text", "key"])
+            words = [t.split() if t else [] for t in part.column(1).to_pylist()]
+            keys = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
+            own = pa.RecordBatch.from_arrays([*part.columns, keys], names=["doc_id", "text", "recurring", "key"])
+            yield own.filter(pa.array([len(w) >= WINDOW for w in words], pa.bool_()))
 
     small_batches(texts.sparkSession)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text binary, key binary")
+    return texts.select("doc_id", "text", "recurring").mapInArrow(run, f"doc_id {kind}, text binary, recurring array<long>, key binary")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
