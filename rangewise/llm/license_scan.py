@@ -44,8 +44,8 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAK), "")
 
 
-def template_grams(spark: SparkSession, templates: tuple[tuple[str, str], ...], base: tuple[tuple[str, str], ...]) -> DataFrame:
-    """(template, label, is_base, gram, place, grams, of_words): the grams that vote."""
+def template_rows(templates: tuple[tuple[str, str], ...], base: tuple[tuple[str, str], ...]) -> list[tuple]:
+    """(template, label, is_base, gram, place, bit, grams, of_words): the grams that vote."""
     rows = []
     for number, (label, text) in enumerate([*base, *templates]):
         own = text.split()
@@ -54,7 +54,12 @@ def template_grams(spark: SparkSession, templates: tuple[tuple[str, str], ...],
         if len(voting) > 63 or not voting:
             raise ValueError(f"a template must have 1 to 63 voting {K}-grams: {text[:50]}")
         rows += [(number, label, number < len(base), " ".join(g), i, 1 << k, len(voting), len(own)) for k, (i, g) in enumerate(voting)]
-    return spark.createDataFrame(rows, "template int, label string, is_base boolean, t_gram string, place int, bit long, grams int, of_words int")
+    return rows
+
+
+def template_grams(spark: SparkSession, templates: tuple[tuple[str, str], ...], base: tuple[tuple[str, str], ...]) -> DataFrame:
+    schema = "template int, label string, is_base boolean, t_gram string, place int, bit long, grams int, of_words int"
+    return spark.createDataFrame(template_rows(templates, base), schema)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base=BASE) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rangewise.llm import oracles
 from rangewise.llm.decontaminate import op7_decontaminate
 from rangewise.llm.language_id import op9_language_id
 from rangewise.llm.license_scan import op10_license_scan
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring_dedup": oracles.OP5, "op7_decontaminate": oracles.OP7, "op10_license_scan": oracles.OP10}
