@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -186,26 +185,26 @@ def close(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs (a, b), a < b, of distinct fingerprints at most radius bits apart. A
     fingerprint has a bounded number of others so near (2,080 within 2 bits)."""
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        fp = f["fp"].to_numpy(np.int64)
+    def one(own: pa.Table) -> pa.Table:
+        fp = own["fp"].to_numpy()
         found = [np.stack([fp[a], fp[b]], axis=1) for a, b in close_pairs(fp.view(np.uint64), radius)]
         pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return sharded(distinct, radius).groupBy("shard").applyInPandas(one, "a long, b long").distinct()
+    return sharded(distinct, radius).groupBy("shard").applyInArrow(one, "a long, b long").distinct()
 
 
 def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): a spanning forest of those pairs in each shard, at most a link for each
     fingerprint; it has the same components."""
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        fp = np.sort(f["fp"].to_numpy(np.int64))
+    def one(part: pa.Table) -> pa.Table:
+        fp = np.sort(part["fp"].to_numpy())
         root = forest(fp.view(np.uint64), radius)
         own = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[own], "b": fp[root[own]]})
+        return pa.table({"a": fp[own], "b": fp[root[own]]})
 
-    return sharded(distinct, radius).groupBy("shard").applyInPandas(one, "a long, b long")
+    return sharded(distinct, radius).groupBy("shard").applyInArrow(one, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

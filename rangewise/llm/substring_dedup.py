@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -184,12 +183,15 @@ def located(texts: list[bytes], low: list, high: list) -> list[list[tuple[int, i
 def _found(regions: DataFrame, kind: str) -> DataFrame:
     """(region, runs) of distinct regions (region, shard, text, low, high)."""
 
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        runs = located(f["text"].tolist(), f["low"].tolist(), f["high"].tolist())
+    def one(own: pa.Table) -> pa.Table:
+        low, high = own["low"].to_pylist(), own["high"].to_pylist()
+        runs = located(own["text"].to_pylist(), low, high)
         keep = [k for k, r in enumerate(runs) if r]
-        return pd.DataFrame({"region": [f["region"].iloc[k] for k in keep], "runs": [[{"a": a, "b": b, "first": d} for a, b, d in runs[k]] for k in keep]})
+        struct = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("first", own["low"].type)]))
+        found = pa.array([[{"a": a, "b": b, "first": d} for a, b, d in runs[k]] for k in keep], struct)
+        return pa.table([own["region"].take(pa.array(keep, pa.int64())), found], names=["region", "runs"])
 
-    return regions.groupBy("shard").applyInPandas(one, f"region binary, runs array<struct<a: int, b: int, first: {kind}>>")
+    return regions.groupBy("shard").applyInArrow(one, f"region binary, runs array<struct<a: int, b: int, first: {kind}>>")
 
 
 def _windows_of(regions: DataFrame) -> DataFrame:
