@@ -147,6 +147,23 @@ def test_near_copies(spark):
     assert {r.doc_id for r in near_copies.near_copies(odd.docs(spark)).collect()} == {r[0] for r in odd.rows()} - {None}
 
 
+def test_an_original_links_its_copies(spark):
+    """Copies are too far from each other, and the original has not the smallest id."""
+    rng = random.Random(9)
+    base = text(rng, 300).split()
+    copies = []
+    for _ in range(12):
+        w = list(base)
+        for k in rng.sample(range(300), 5):
+            w[k] = text(rng, 1)
+        copies.append(" ".join(w))
+    texts = copies[:6] + [" ".join(base)] + copies[6:]
+    shingles = [set(near_copies.shingles_of(t.encode()).tolist()) for t in texts]
+    near = lambda i, j: len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])
+    assert all(near(6, k) for k in range(13)) and sum(near(0, k) for k in range(1, 13) if k != 6) < 11
+    assert {r.group_id for r in near_copies.near_copies(odd.of(spark, texts)).collect()} == {0}
+
+
 def _shares(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight, target, rest, left = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}, {}, set(order), sum(sizes.values())
