@@ -220,7 +220,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
     same = [rows[k].eqNullSafe(groups[f"of_{k}"]) for k in keys]
     dealt = rows.join(groups, reduce(and_, same)).drop(*[f"of_{k}" for k in keys])
     blocks = F.ceil(F.col("total") / BLOCK)
-    spread = F.xxhash64("doc_id", F.monotonically_increasing_id())  # repeated rows spread too
+    spread = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))  # rows without an id spread too
     dealt = written(dealt.withColumn("block", F.pmod(spread, blocks)))
     large = dealt.filter(F.col("total") >= MIN_GROUP)
     estimates = written(_inverted(_of_blocks(large)))
