@@ -140,7 +140,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     words = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("int")
     goal = goal.withColumn("passes", passes).withColumn("need", words - F.col("passes") * F.col("source_size"))
-    blocks = _filled(blocks.join(goal, "src"), ["src"], "block", "need", 1)
+    blocks = written(_filled(blocks.join(goal, "src"), ["src"], "block", "need", 1))
 
     # what is dealt to shards: a block in each whole pass, and in the last one if any of it is taken
     items = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes")))).filter((F.col("pass") < F.col("passes")) | (F.col("part") > 0))
