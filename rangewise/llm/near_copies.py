@@ -8,8 +8,13 @@ changes few of them, and the others' fingerprints stay within RADIUS bits. Close
 fingerprints are found through the vantage-point trees and form clusters; each
 document of a cluster is compared with two of its members, the smallest one and the one
 that has most parts in common with others (an original among its edited copies), by the
-Jaccard similarity of all shingles. So comparisons grow with documents and parts, not
-with pairs.
+Jaccard similarity of all shingles. This links most copies with few comparisons.
+
+What it leaves apart goes through an exact prefix-filter join. Shingles have one order,
+those seldom in a sample first; two texts that are similar enough share a shingle among
+the first n - ceil(similarity * n) + 1 of each. Texts that meet there, are not linked
+yet, and whose sizes and common first shingles allow the similarity are all compared.
+So every pair at the threshold ends in one group.
 """
 
 from __future__ import annotations
@@ -30,6 +35,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Parts of a document, words of a part, and words whose hash chooses it.
 PARTS, PART_WORDS, FIRST_WORDS = 8, 12, 4
 _SEED = 9
+#: Texts, and their most frequent shingles, that the order of shingles is learned from;
+#: any order gives the same result.
+SAMPLE, FREQUENT = 10_000, 100_000
 
 
 def parts_of(words: list[bytes]) -> list[bytes]:
@@ -44,8 +52,18 @@ def parts_of(words: list[bytes]) -> list[bytes]:
     return [b" ".join(words[best[h] : best[h] + PART_WORDS]) for h in sorted(best)[:PARTS]]
 
 
-def _surveyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, parts): key names the words, parts are distinct fingerprints."""
+def shingles_of(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct hashes of a text's shingles; fewer words are one shingle, none none."""
+    words = raw.lower().split() if raw else []
+    if not words:
+        return np.zeros(0, np.int64)
+    own = [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)), strict=False)] or [b" ".join(words)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, _SEED) for s in own], np.uint64)).view(np.int64)
+
+
+def _surveyed(docs: DataFrame, shingle: int, id_col: str, text_col: str, more: tuple[str, ...]) -> DataFrame:
+    """(doc_id, more, key, parts, shingles): key names the words, parts are distinct
+    fingerprints, shingles distinct hashes."""
 
     def work(texts):
         words = [t.lower().split() if t else [] for t in texts]
@@ -55,18 +73,10 @@ def _surveyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return {
             "key": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
             "parts": pa.array([np.unique(prints[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.list_(pa.int64())),
+            "shingles": pa.array([shingles_of(t, shingle) for t in texts], pa.list_(pa.int64())),
         }
 
-    return over_texts(docs, work, "key binary, parts array<long>", id_col, text_col)
-
-
-def shingles_of(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of a text's shingles; fewer words are one shingle, none none."""
-    words = raw.lower().split() if raw else []
-    if not words:
-        return np.zeros(0, np.int64)
-    own = [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)), strict=False)] or [b" ".join(words)]
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, _SEED) for s in own], np.uint64)).view(np.int64)
+    return over_texts(docs, work, "key binary, parts array<long>, shingles array<long>", id_col, text_col, more)
 
 
 def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -86,31 +96,92 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "of_a", "of_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id) for every row with an id: the smallest id of its group. Texts
-    of the same words (A-Z lower-cased) are one; further ones are joined by similarity.
-
-    Null and empty texts have no words and are copies of each other. Rows without an id
-    are left out; rows of one id with different texts are each grouped, and then the id has
-    several rows. Other columns are not read."""
-    base = written(_surveyed(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col))
-    classes = written(base.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-    first = written(base.join(classes, ["key", "doc_id"], "left_semi").dropDuplicates(["key"]).select("doc_id", F.explode("parts").alias("fp")))
+def _compared(pairs: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of rows of base that are similar enough."""
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = written(base.select("row", "shingles").join(wanted, "row", "left_semi"))
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b")), "b")
+    return written(_similar(both, similarity))
+
+
+def _led(first: DataFrame, radius: int) -> DataFrame:
+    """(a, b): the members of each cluster of the parts (row, fp), with its two leaders."""
     close = components(linked(first.select("fp").distinct(), radius))
-    clusters = first.join(close.withColumnRenamed("vertex", "fp"), "fp", "left").select("doc_id", F.coalesce("root", "fp").alias("cluster"))
+    clusters = first.join(close.withColumnRenamed("vertex", "fp"), "fp", "left").select("row", F.coalesce("root", "fp").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(clusters.join(sizes, "cluster"))
-    common = members.groupBy("doc_id").agg(F.sum("size").alias("common"))
-    members = members.join(common, "doc_id")
-    most = F.min_by("doc_id", F.struct(-F.col("common"), "doc_id"))
-    leaders = members.groupBy("cluster").agg(F.array_distinct(F.array(F.min("doc_id"), most)).alias("leaders"))
-    pairs = members.join(leaders, "cluster").select("doc_id", F.explode("leaders").alias("leader")).filter("doc_id != leader")
-    pairs = written(pairs.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "doc_id", "left_semi")
-    shingled = over_texts(texts, lambda own: {"shingles": pa.array([shingles_of(t, shingle) for t in own], pa.list_(pa.int64()))}, "shingles array<long>")
-    shingled = written(shingled)
-    both = pairs.join(shingled.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a").join(shingled.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    roots = components(written(_similar(both, similarity)))
-    groups = classes.join(roots.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").select("key", F.coalesce("root", "doc_id").alias("group_id"))
-    return base.select("doc_id", "key").join(groups, "key").select("doc_id", "group_id")
+    common = members.groupBy("row").agg(F.sum("size").alias("common"))
+    members = members.join(common, "row")
+    most = F.min_by("row", F.struct(-F.col("common"), "row"))
+    leaders = members.groupBy("cluster").agg(F.array_distinct(F.array(F.min("row"), most)).alias("leaders"))
+    pairs = members.join(leaders, "cluster").select("row", F.explode("leaders").alias("leader")).filter("row != leader")
+    return written(pairs.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b")).distinct())
+
+
+def _prefixes(base: DataFrame, similarity: float) -> DataFrame:
+    """(row, n, tokens): the number of a text's shingles and the first of them, in an
+    order that puts those frequent in a sample last."""
+    n = base.count()
+    some = base.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40) < min(1.0, SAMPLE / max(n, 1)))
+    often = some.select(F.explode("shingles").alias("token")).groupBy("token").count().filter("count > 1").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    often.sort(key=lambda r: r["token"])
+    learned = base.sparkSession.sparkContext.broadcast((np.array([r["token"] for r in often], np.int64), np.array([r["count"] for r in often], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = learned.value
+        for part in batches:
+            sizes, tokens = [], []
+            for own in part.column(1):
+                x = own.values.to_numpy()
+                seen = np.zeros(len(x), np.int64)
+                if len(known) and len(x):
+                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    seen = np.where(known[at] == x, counts[at], 0)
+                sizes.append(len(x))
+                # never shorter by a rounding error
+                tokens.append(x[np.lexsort((x, seen))][: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["row", "n", "tokens"])
+
+    small_batches(base.sparkSession)
+    return base.select("row", "shingles").mapInArrow(run, "row long, n int, tokens array<long>")
+
+
+def _rest(base: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts in different components that may be similar enough."""
+    first = _prefixes(base, similarity).join(classes.select("row"), "row", "left_semi").join(roots.withColumnRenamed("vertex", "row"), "row", "left")
+    tokens = first.select("row", "n", F.coalesce("root", "row").alias("root"), F.explode("tokens").alias("token"))
+    tokens = written(tokens)
+    shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
+    own = written(tokens.join(shared, "token", "left_semi"))
+    a, b = (own.select("token", F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
+    fits = (F.col("n_a") >= similarity * F.col("n_b") - 1e-6) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-6)
+    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    # common shingles are among both texts' first ones, or behind the first ones of one
+    behind = F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-6) - 1
+    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    return written(met.filter(F.col("both") + behind >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b"))
+
+
+def grouped(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, more, key, root) for every row: rows of one root are a group. Texts of the
+    same words (A-Z lower-cased) are one; further ones are joined by similarity. Null
+    and empty texts have no words and are copies of each other."""
+    surveyed = _surveyed(docs, shingle, id_col, text_col, more)
+    base = written(surveyed.withColumn("row", F.monotonically_increasing_id()))
+    classes = written(base.groupBy("key").agg(F.min("row").alias("row")))
+    first = written(base.select("row", "parts").join(classes.select("row"), "row", "left_semi").select("row", F.explode("parts").alias("fp")))
+    led = _compared(_led(first, radius), base, similarity)
+    rest = _compared(_rest(base, classes, components(led), similarity), base, similarity)
+    roots = components(led.union(rest))
+    roots = classes.join(roots.withColumnRenamed("vertex", "row"), "row", "left").select("key", F.coalesce("root", "row").alias("root"))
+    return base.select("doc_id", *more, "key").join(roots, "key")
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, group_id) for every row with an id: the smallest id of its group, see
+    grouped().
+
+    Rows without an id are left out; rows of one id with different texts are each
+    grouped, and then the id has several rows. Other columns are not read."""
+    found = written(grouped(docs.filter(F.col(f"`{id_col}`").isNotNull()), similarity, shingle, radius, id_col, text_col))
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("doc_id", "group_id")

@@ -318,3 +318,28 @@ def test_stages_on_odd_documents(spark, data):
         for _, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, data).toArrow())
         assert own.isEmpty() == docs.isEmpty()
+
+
+def _similar_groups(texts):
+    sets = [set(near_copies.shingles_of(t.encode()).tolist()) for t in texts]
+    return _roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+
+
+def test_near_copies_of_other_members_than_leaders(spark):
+    """Chains of successive edits, and texts that are mostly passages many others share."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(6):
+        w = text(rng, 200).split()
+        for _ in range(8):
+            texts.append(" ".join(w))
+            for k in rng.sample(range(200), 3):
+                w[k] = text(rng, 1)
+    passages = [text(rng, 60) for _ in range(3)]
+    for _ in range(60):
+        own = [*rng.sample(passages, 2), text(rng, 60)]
+        texts.append(" ".join(own))
+        texts.append(" ".join([*own, text(rng, 8)]))
+    rng.shuffle(texts)
+    got = {r.doc_id: r.group_id for r in near_copies.near_copies(odd.of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == _similar_groups(texts)
