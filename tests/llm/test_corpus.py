@@ -343,3 +343,16 @@ def test_near_copies_of_other_members_than_leaders(spark):
     rng.shuffle(texts)
     got = {r.doc_id: r.group_id for r in near_copies.near_copies(odd.of(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == _similar_groups(texts)
+
+
+def test_near_copies_of_short_texts(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in range(4, 15):
+        for _ in range(12):
+            w = text(rng, n).split()
+            texts += [" ".join(w), " ".join([*w, *text(rng, 1).split()]), " ".join([*text(rng, 1).split(), *w])]
+    rng.shuffle(texts)
+    expected = _similar_groups(texts)
+    got = {r.doc_id: r.group_id for r in near_copies.near_copies(odd.of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == expected and len(set(expected)) < len(texts)
