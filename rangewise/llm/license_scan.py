@@ -5,7 +5,9 @@ templates (a broadcast table of fixed size; the join's condition compares the gr
 itself). A hit at text position p and template position t votes for the diagonal p - t.
 Votes are summed by diagonal, neighbouring diagonals (words put in or left out) are
 merged, and a merged span is verified: enough of the template's distinct grams stand in
-it, close together. A base phrase must have all its grams on one diagonal.
+it, close together: in the span as a whole, or, where occurrences follow each other and
+merge, on diagonals that are less than the template's length apart. A base phrase must
+have all its grams on one diagonal.
 """
 
 from __future__ import annotations
@@ -91,18 +93,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     order = Window.partitionBy(*key, "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order) > SLACK
     runs = diagonals.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy(*key, "template", "label", "is_base", "grams", "of_words", "run").agg(
+    # the grams on a diagonal and on those up to a template's length after it
+    near = F.expr(f"bit_or(voted) OVER (PARTITION BY {', '.join(key)}, template, run ORDER BY diagonal / of_words RANGE BETWEEN CURRENT ROW AND 0.999999999D FOLLOWING)")
+    runs = runs.withColumn("near", F.bit_count(near)).groupBy(*key, "template", "label", "is_base", "grams", "of_words", "run").agg(
         F.max("rows").alias("rows"),
         F.bit_or("voted").alias("voted"),
+        F.max("near").alias("near"),
         F.min("first").alias("first"),
         F.max("last").alias("last"),
         F.sum(F.when(whole, 1).otherwise(0)).alias("places"),
         F.min(F.when(whole, F.col("diagonal"))).alias("first_place"),
         F.max(F.when(whole, F.col("diagonal"))).alias("last_place"),
     )
-    share = F.bit_count("voted") / F.col("grams")
     close = F.col("last") - F.col("first") < 2 * F.col("of_words")
-    found = F.when(F.col("is_base"), F.col("places") > 0).otherwise((share >= COVERAGE) & close)
+    share = F.when(F.col("is_base") | close, F.bit_count("voted")).otherwise(F.col("near")) / F.col("grams")
+    found = F.when(F.col("is_base"), F.col("places") > 0).otherwise(share >= COVERAGE)
     runs = runs.withColumn("found", F.coalesce(found, F.lit(False)))
     marked = F.when(F.col("template").isNull(), F.col("rows"))
     docs_found = runs.groupBy(*key).agg(

@@ -138,6 +138,16 @@ def test_licences_of_odd_documents(spark):
     assert got[0].score == 1.0 and 0.6 <= got[5].score < 1.0
 
 
+def test_repeated_licence_lines(spark):
+    texts = ["all rights reserved " * n for n in range(1, 8)] + ["all rights " * 9, "x all rights reserved y z all rights reserved all rights reserved"]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(odd.of(spark, texts)).collect()}
+    assert [got[k] for k in range(9)] == [("reserved", 1.0)] * 7 + [("", 0.0), ("reserved", 1.0)]
+    # occurrences that are not complete
+    own = (("short", "granted freely toward users"),)
+    got = license_scan.scan(odd.of(spark, ["granted freely toward " * n for n in (1, 2, 5)]), templates=own, base=()).collect()
+    assert [(r.labels, r.score) for r in got] == [("short", 2 / 3)] * 3
+
+
 def test_statistics_against_brute_force():
     rng = random.Random(7)
     for _ in range(500):
