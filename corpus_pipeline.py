@@ -25,11 +25,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of exact and near copies (five words, 0.8) the smallest id stays.
-    Rows without an id can't be told apart and stay."""
-    groups = near_copies.near_copies(docs)
-    gone = groups.groupBy("doc_id").agg(F.min("group_id").alias("group_id")).filter("group_id < doc_id")
-    return docs.select(*COLUMNS).join(written(gone.select("doc_id")), "doc_id", "left_anti")
+    """Of each group of exact and near copies (five words, 0.8) one row stays: one of the
+    smallest id, or one without an id where no row has one. Rows are told apart by id
+    and all columns, so that rows of one id with different texts are decided apart."""
+    docs = docs.select(*COLUMNS).withColumn("own", F.xxhash64(*COLUMNS[1:]))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
+    rows = written(near_copies.grouped(docs, more=("own",)).select("root", place.alias("place")))
+    equal = rows.groupBy("root", "place").agg(F.count("*").alias("rows"))
+    judged = equal.join(rows.groupBy("root").agg(F.min("place").alias("stays")), "root")
+    judged = written(judged.select(F.col("place.doc_id").alias("id"), F.col("place.own").alias("of"), (F.col("place") == F.col("stays")).alias("stays"), "rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("of"))
+    alone = docs.join(judged.filter("not stays or rows > 1"), same, "left_anti")
+    # of equal rows that are to stay, all but one go
+    repeated = docs.join(judged.filter("stays and rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "own"])
+    return alone.unionByName(repeated).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -356,3 +356,15 @@ def test_near_copies_of_short_texts(spark):
     expected = _similar_groups(texts)
     got = {r.doc_id: r.group_id for r in near_copies.near_copies(odd.of(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == expected and len(set(expected)) < len(texts)
+
+
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b, c, d = (text(rng, 40) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, a + " x"), (None, b), (None, c), (None, c), (None, c.upper()), (4, d), (4, d), (4, d + "\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert odd.counted((r.doc_id, " ".join(r.text.lower().split())) for r in got) == odd.counted([(1, a), (3, b), (None, c), (4, d)])
+    assert set(map(tuple, got)) <= set(map(tuple, docs.collect()))
