@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangewise.llm import decontaminate, language_id, mixing, near_copies, secret_scan
-from rangewise.llm.common import table, written
+from rangewise.llm.common import over_texts, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language (no text, or none with a letter) go; a missing
-    language is filled in."""
-    found = language_id.identify(docs, language_id.train(docs), keep=COLUMNS[1:])
+    language is filled in. Where there is nothing to learn from, documents with a
+    letter stay, and a missing language stays missing."""
+    network = language_id.train(docs)
+    if network is None:
+        return over_texts(docs, lambda texts: {"some": [language_id.has_letter(t) for t in texts]}, "some boolean", more=COLUMNS[1:]).filter("some").select(*COLUMNS)
+    found = language_id.identify(docs, network, keep=COLUMNS[1:])
     return found.filter(F.col("lang_pred") != language_id.UND).select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 

@@ -368,3 +368,12 @@ def test_one_row_of_each_group_stays(spark):
     got = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert odd.counted((r.doc_id, " ".join(r.text.lower().split())) for r in got) == odd.counted([(1, a), (3, b), (None, c), (4, d)])
     assert set(map(tuple, got)) <= set(map(tuple, docs.collect()))
+
+
+def test_no_language_to_learn_from(spark):
+    import corpus_pipeline
+
+    own = odd.docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.language(spark, own, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert odd.counted((r.doc_id, r.text) for r in got.collect()) == odd.counted((r[0], r[1]) for r in odd.rows() if language_id.has_letter((r[1] or "").encode()))
