@@ -13,14 +13,16 @@ document is searched for every block. One block (the usual case) is one narrow p
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewise.llm.common import over_texts, table
+from rangewise.llm.common import over_texts, table, written
 
 WORDS = 10
 #: Bytes of item text that are compiled and broadcast together.
@@ -89,53 +91,98 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list]:
-    """The items in blocks of about `most` bytes. The table is sized first; the driver
-    holds one block at a time."""
-    items = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").cast("binary").alias("text")).filter("item_id is not null and text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-size // most))
-    for k in range(parts):
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield sorted(((r["item_id"], bytes(r["text"])) for r in own.collect()), key=lambda r: (str(r[0]), r[1]))
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    own = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    return own.filter("text is not null").distinct()
 
 
-def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, n_words, hits, items) for every row: hits are merged word spans, ends
-    exclusive, items the sorted ids of items with a pattern there.
+def _block(items: DataFrame, k: int, parts: int) -> list:
+    """One of the parts of the items: all that the driver holds at a time."""
+    own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+    return sorted(((r["item_id"], bytes(r["text"])) for r in own.collect()), key=lambda r: (str(r[0]), r[1]))
 
-    Null texts have no words. Items with a null id or text have no patterns; repeated
-    items count once. An empty benchmark hits nothing. One row out per row in, repeated
-    and null ids too; columns other than id, text and `keep` are not read."""
-    spark = docs.sparkSession
-    item_type = benchmark.schema[item_col].dataType
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(item_type.simpleString(), pa.string())
+
+#: The block that a worker has compiled last, by its name; workers serve many tasks.
+_compiled: dict[str, Patterns] = {}
+
+
+def _searched(docs: DataFrame, name: str, block: Broadcast, kind: pa.DataType, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """One narrow pass over all texts for one block of items."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    sent = [spark.sparkContext.broadcast(block) for block in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    compiled: dict[int, Patterns] = {}
 
     def work(texts):
+        if name not in _compiled:
+            _compiled.clear()
+            _compiled[name] = Patterns(block.value)
         own = [words(t) for t in texts]
-        spans, items = [[] for _ in own], [set() for _ in own]
-        for k, block in enumerate(sent):
-            if k not in compiled:
-                if len(sent) > 1:
-                    compiled.clear()
-                compiled[k] = Patterns(block.value)
-            for d, w in enumerate(own):
-                for start, end, ids in compiled[k].occurrences(w):
-                    spans[d].append((start, end))
-                    items[d].update(ids)
+        found = [_compiled[name].occurrences(w) for w in own]
+        ids = [{i for _, _, some in f for i in some if i is not None} for f in found]
         return {
             "n_words": pa.array(list(map(len, own)), pa.int64()),
-            "hits": pa.array([[{"start": s, "end": e} for s, e in merged(x)] for x in spans], span),
-            "items": pa.array([sorted(x if kind != pa.string() else map(str, x)) for x in items], pa.list_(kind)),
+            "hits": pa.array([[{"start": s, "end": e} for s, e in merged([f[:2] for f in own])] for own in found], span),
+            "items": pa.array([sorted(x if kind != pa.string() else map(str, x)) for x in ids], pa.list_(kind)),
         }
 
     named = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string"}[kind]
     return over_texts(docs, work, f"n_words long, hits array<struct<start: int, end: int>>, items array<{named}>", id_col, text_col, keep)
 
 
+def _joined(hits: Column) -> Column:
+    """Sorted spans, those that touch made one."""
+    return F.aggregate(
+        F.array_sort(hits),
+        F.array().cast("array<struct<start: int, end: int>>"),
+        lambda out, h: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= h["start"]), F.concat(
+            F.slice(out, F.lit(1), F.size(out) - 1),
+            F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], h["end"]).alias("end"))),
+        )).otherwise(F.concat(out, F.array(F.struct(h["start"].alias("start"), h["end"].alias("end"))))),
+    )
+
+
+def search(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """(doc_id, *keep, n_words, hits, items) for every row: hits are merged word spans, ends
+    exclusive, items the sorted ids of items with a pattern there.
+
+    Null texts have no words. Items with a null text have no patterns; one with a null id
+    hits, but has no id to name; repeated items count once. An empty benchmark hits
+    nothing. One row out per row in, repeated and null ids too; columns other than id,
+    text and `keep` are not read.
+
+    A benchmark of several blocks is searched for block by block, each compiled once by a
+    worker; what a block finds is written and gathered by row at the end."""
+    sent = docs.sparkSession.sparkContext.broadcast
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(benchmark.schema[item_col].dataType.simpleString(), pa.string())
+    items = _items(benchmark, item_col, item_text_col)
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-size // block_bytes))
+    if parts == 1:
+        return _searched(docs, uuid.uuid4().hex, sent(_block(items, 0, 1)), kind, id_col, text_col, keep)
+    inner = [F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)]
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *inner)
+    own = written(own.withColumn("row", F.monotonically_increasing_id()))
+    found = []
+    for k in range(parts):
+        block = sent(_block(items, k, parts))
+        part = _searched(own.select("row", "text"), uuid.uuid4().hex, block, kind, "row", "text", ())
+        found.append(written(part if k == 0 else part.filter(F.size("hits") > 0)))
+        block.destroy()
+    n_words = found[0].select(F.col("doc_id").alias("row"), "n_words")
+    hits = reduce(DataFrame.unionByName, found).filter(F.size("hits") > 0).groupBy(F.col("doc_id").alias("row"))
+    hits = hits.agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = own.drop("text").join(n_words, "row").join(hits.withColumn("hits", _joined(F.col("hits"))), "row", "left")
+    empty = {c: F.coalesce(F.col(c), F.array().cast(found[0].schema[c].dataType)).alias(c) for c in ("hits", "items")}
+    return rows.select(F.col("id").alias("doc_id"), *[F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)], "n_words", *empty.values())
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0), lambda n, h: n + h["end"] - h["start"]).cast("long")
