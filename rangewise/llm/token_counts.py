@@ -11,6 +11,7 @@ sum. Truncation and budget questions are then look-ups, without encoding again.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,8 @@ from rangewise.llm.common import over_texts, table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose tables a worker keeps, and their bytes.
 CACHE, CACHED_BYTES = 400_000, 8 << 20
+#: Runs of white space whose bytes and tokens it keeps.
+RUNS = 10_000
 LIMIT = 512
 
 
@@ -64,6 +67,7 @@ class PrefixCounter:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
+        self.run_tokens: dict[str, tuple[int, int]] = {}
 
     def stays(self, a: int, b: int) -> bool:
         """Whether the merges leave the tokens a, b, side by side, as they are.
@@ -151,10 +155,17 @@ class PrefixCounter:
         text_ends = np.concatenate([[0], ends])[np.cumsum(per_text)]
         tables = np.split(own, text_ends[:-1])
         for text, table in zip(texts, tables, strict=True):  # cut inside a run of white space, the run so far is one pre-token
+            seen = at = 0  # characters and bytes before
             for run in self.spaces.finditer(text):
-                at = len(text[: run.start()].encode())
-                whole = self.counts(run[0].encode())
-                table[at + len(whole) - 1] = whole[-1] + (table[at - 1] if at else 0)
+                at += len(text[seen : run.start()].encode())
+                whole = self.run_tokens.get(run[0])
+                if whole is None:
+                    own = self.counts(run[0].encode())
+                    whole = len(own), int(own[-1])
+                    if len(self.run_tokens) < RUNS and whole[0] < 1 << 10:
+                        self.run_tokens[run[0]] = whole
+                table[at + whole[0] - 1] = whole[1] + (table[at - 1] if at else 0)
+                seen, at = run.end(), at + whole[0]
         return tables
 
     def prefixes(self, texts: list[str]) -> list[np.ndarray]:
@@ -185,18 +196,24 @@ def _counter(spec: str) -> PrefixCounter:
     return PrefixCounter(spec)
 
 
+def _tables(docs: DataFrame, tokenizer: str) -> Callable[[list[bytes | None]], list[np.ndarray]]:
+    """The prefix tables of texts, for tasks. The driver reads the file; it is broadcast
+    (a vocabulary of fixed size)."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    return lambda texts: _counter(spec.value).prefixes([t.decode() if t else "" for t in texts])
+
+
 def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, counts): counts[k] is the number of tokens of the first k + 1
     bytes. A null text counts as empty: n_bytes 0 and an empty array. One row out per
     row in, repeated and null ids too; other columns are ignored. tokenizer: path of a
-    byte-level BPE file, read by the driver and broadcast (a vocabulary of fixed size).
-    """
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    byte-level BPE file. For totals and budgets use budgets(), which keeps the tables in
+    the tasks."""
+    made = _tables(docs, tokenizer)
 
     def work(texts):
-        counter = _counter(spec.value)
-        tables = counter.prefixes([t.decode() if t else "" for t in texts])
+        tables = made(texts)
         ends = np.cumsum([0, *map(len, tables)])
         if ends[-1] >= 2**31:
             raise ValueError("a text of 2 GB or more")
@@ -209,6 +226,25 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     return over_texts(docs, work, "n_bytes long, counts array<int>", id_col, text_col)
 
 
+def budgets(docs: DataFrame, tokenizer: str, limits: tuple[int, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, fitting): fitting has, for each limit, the bytes of the
+    longest prefix below which every prefix has at most so many tokens. Rows as in
+    prefix_counts()."""
+    made = _tables(docs, tokenizer)
+
+    def work(texts):
+        tables = made(texts)
+        # the first prefix over a limit; running maxima are sorted
+        most = [np.maximum.accumulate(t) if limits else t for t in tables]
+        return {
+            "n_bytes": pa.array([len(t) if t else 0 for t in texts], pa.int64()),
+            "n_tokens": pa.array([int(t[-1]) if len(t) else 0 for t in tables], pa.int64()),
+            "fitting": pa.array([[int(np.searchsorted(m, n, side="right")) for n in limits] for m in most], pa.list_(pa.int64())),
+        }
+
+    return over_texts(docs, work, "n_bytes long, n_tokens long, fitting array<long>", id_col, text_col)
+
+
 def total(counts: str = "counts"):
     """Tokens of the whole text."""
     return F.coalesce(F.try_element_at(counts, F.lit(-1)), F.lit(0)).cast("long")
@@ -224,5 +260,5 @@ def fitting_bytes(limit: int, counts: str = "counts"):
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return found.select("doc_id", "n_bytes", total().alias("n_tokens"), (total() > LIMIT).alias("over_limit"))
+    found = budgets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
