@@ -5,13 +5,15 @@ templates (a broadcast table of fixed size; the join's condition compares the gr
 itself). A hit at text position p and template position t votes for the diagonal p - t.
 Votes are summed by diagonal, neighbouring diagonals (words put in or left out) are
 merged, and a merged span is verified: enough of the template's distinct grams stand in
-it, close together: in the span as a whole, or, where occurrences follow each other and
-merge, on diagonals that are less than the template's length apart. A base phrase must
-have all its grams on one diagonal.
+it on diagonals that are less than the template's length apart, so that occurrences that
+follow each other and merge are told from scattered grams. A base phrase must have all
+its grams on one diagonal.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Words after lower-casing; null has none."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAK), "")
+    """Words after lower-casing A-Z; null has none."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), _BREAK), "")
 
 
 def template_rows(templates: tuple[tuple[str, str], ...], base: tuple[tuple[str, str], ...]) -> list[tuple]:
@@ -105,8 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         F.min(F.when(whole, F.col("diagonal"))).alias("first_place"),
         F.max(F.when(whole, F.col("diagonal"))).alias("last_place"),
     )
-    close = F.col("last") - F.col("first") < 2 * F.col("of_words")
-    share = F.when(F.col("is_base") | close, F.bit_count("voted")).otherwise(F.col("near")) / F.col("grams")
+    share = F.when(F.col("is_base"), F.bit_count("voted")).otherwise(F.col("near")) / F.col("grams")
     found = F.when(F.col("is_base"), F.col("places") > 0).otherwise(share >= COVERAGE)
     runs = runs.withColumn("found", F.coalesce(found, F.lit(False)))
     marked = F.when(F.col("template").isNull(), F.col("rows"))

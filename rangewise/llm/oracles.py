@@ -36,8 +36,10 @@ g AS (SELECT doc_id, i - 1 AS spot, ws[i] || ' ' || ws[i + 1] AS gram FROM d, un
 diag AS (SELECT doc_id, template, label, is_base, grams, of_words, spot - place AS diagonal, bit_or(bit) AS voted, min(spot) AS first, max(spot + {K - 1}) AS last FROM g JOIN t USING (gram) GROUP BY ALL),
 cut AS (SELECT *, is_base AND bit_count(voted) = grams AS whole, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {SLACK}, false)::INT AS apart FROM diag),
 numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM cut),
-run AS (SELECT doc_id, template, label, is_base, grams, of_words, run, bit_or(voted) AS voted, min(first) AS first, max(last) AS last, count(*) FILTER (whole) AS places, min(diagonal) FILTER (whole) AS first_place, max(diagonal) FILTER (whole) AS last_place FROM numbered GROUP BY ALL),
-judged AS (SELECT *, bit_count(voted) / grams AS share, CASE WHEN is_base THEN places > 0 ELSE bit_count(voted) / grams >= {COVERAGE} AND last - first < 2 * of_words END AS found FROM run),
+near AS (SELECT a.doc_id, a.template, a.run, a.diagonal, bit_count(bit_or(b.voted)) AS near FROM numbered a JOIN numbered b ON a.doc_id = b.doc_id AND a.template = b.template AND a.run = b.run AND b.diagonal >= a.diagonal AND b.diagonal < a.diagonal + a.of_words GROUP BY ALL),
+most AS (SELECT doc_id, template, run, max(near) AS near FROM near GROUP BY ALL),
+run AS (SELECT doc_id, template, label, is_base, grams, run, bit_or(voted) AS voted, count(*) FILTER (whole) AS places, min(diagonal) FILTER (whole) AS first_place, max(diagonal) FILTER (whole) AS last_place FROM numbered GROUP BY ALL),
+judged AS (SELECT run.*, CASE WHEN is_base THEN bit_count(voted) ELSE near END / grams AS share, CASE WHEN is_base THEN places > 0 ELSE near / grams >= {COVERAGE} END AS found FROM run JOIN most USING (doc_id, template, run)),
 doc AS (SELECT doc_id, sum(places) AS n_base, min(first_place) AS first_word, max(last_place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found) AS labels, max(share) FILTER (found) AS score FROM judged GROUP BY 1)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM d LEFT JOIN doc USING (doc_id)"""

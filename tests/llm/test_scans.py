@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rangewise.llm import decontaminate, license_scan, oracles, quality_rules, queries, secret_scan, token_counts
 from tests import duck
@@ -43,6 +44,26 @@ def test_token_counts_of_odd_documents(spark, tokenizer):
     assert token_counts.prefix_counts(odd.empty(spark), PATH).count() == 0
 
 
+def test_budgets_of_odd_documents(spark):
+    limits = (0, 3, 10, 512)
+    tables = token_counts.prefix_counts(odd.docs(spark), PATH)
+    expected = tables.select("doc_id", "n_bytes", token_counts.total().alias("n"), F.array(*map(token_counts.fitting_bytes, limits)).alias("f"))
+    got = token_counts.budgets(odd.docs(spark), PATH, limits)
+    assert odd.counted(map(tuple, got.collect())) == odd.counted(map(tuple, expected.collect()))
+
+
+def test_long_texts_take_time_in_proportion(counter):
+    import time
+
+    piece = "word  and   more \n\n\t text é  "
+    took = []
+    for n in (2_000, 16_000):
+        start = time.perf_counter()
+        counter.prefixes([piece * n])
+        took.append(time.perf_counter() - start)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 def test_truncation(spark, tokenizer):
     text = "the quick brown fox jumps over the lazy dog " * 5
     row = token_counts.prefix_counts(odd.of(spark, [text, "a"]), PATH).select(token_counts.fitting_bytes(10).alias("n")).collect()
@@ -114,12 +135,15 @@ def test_wu_manber_against_brute_force():
 
 
 def test_decontamination_of_odd_documents(spark):
-    bench = spark.createDataFrame([(1, "w3 W4, w5"), (1, "w3 W4, w5"), (2, None), (None, "x"), (3, ""), (4, " ".join(odd.WORDS[20:40]))], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "w3 W4, w5"), (1, "w3 W4, w5"), (2, None), (None, "x"), (None, " ".join(odd.WORDS[60:72])), (3, ""), (4, " ".join(odd.WORDS[20:40]))], "item_id long, text string")
     found = decontaminate.search(odd.docs(spark), bench)
     got = {(r.doc_id, r.n_words): (r.hits, r.items) for r in found.collect()}
-    assert found.count() == len(odd.rows()) and got[1, 120][1] == [1, 4] and [tuple(h) for h in got[1, 120][0]] == [(3, 6), (20, 40)]
-    blocks = decontaminate.search(odd.docs(spark), bench, block_bytes=20)
-    assert odd.counted(map(tuple, blocks.select("doc_id", "n_words", "items").collect())) == odd.counted(map(tuple, found.select("doc_id", "n_words", "items").collect()))
+    assert found.count() == len(odd.rows()) and got[1, 120][1] == [1, 4] and [tuple(h) for h in got[1, 120][0]] == [(3, 6), (20, 40), (60, 72)]
+    blocks = decontaminate.search(odd.docs(spark), bench, block_bytes=20, keep=("lang", "n_words"))
+    whole = decontaminate.search(odd.docs(spark), bench, keep=("lang",))
+    assert blocks.columns == ["doc_id", "lang", "n_words", "n_words", "hits", "items"]
+    blocks = blocks.toDF("doc_id", "lang", "kept", "n_words", "hits", "items").drop("kept")
+    assert odd.counted(map(tuple, blocks.collect())) == odd.counted(map(tuple, whole.collect()))
     assert decontaminate.search(odd.docs(spark), bench.limit(0)).filter("size(hits) > 0").isEmpty()
     assert decontaminate.search(odd.empty(spark), bench).isEmpty()
     named = decontaminate.search(odd.docs(spark), bench.selectExpr("concat('i', item_id) AS item_id", "text"))
