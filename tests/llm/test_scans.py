@@ -195,10 +195,81 @@ def test_mcd_is_not_pulled_by_outliers():
     assert abs(quality_rules.chi2_quantile(7, 0.5) - 6.3458) < 1e-3 and abs(quality_rules.chi2_quantile(2, 0.05) - 5.9915) < 1e-3
 
 
+def test_mcd_is_the_best_half():
+    """Hundreds of random starts come to no much smaller determinant."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    floor = np.full(7, 0.1)
+    for n in (40, 150):
+        x = np.concatenate([rng.normal(0, 1, (n - n // 4, 7)), rng.normal(5, 0.3, (n // 4, 7))])
+        h = (n + 8) // 2
+        det = lambda half: np.linalg.slogdet(np.cov(x[half], rowvar=False, bias=True) + np.diag(floor**2))[1]  # noqa: B023, E731
+        best = np.inf
+        for _ in range(200):
+            half = rng.choice(n, 8, replace=False)
+            for _ in range(30):
+                d = x - x[half].mean(0)
+                inverse = np.linalg.inv(np.cov(x[half], rowvar=False, bias=True) + np.diag(floor**2))
+                half = np.argsort(np.einsum("ij,jk,ik->i", d, inverse, d))[:h]
+            best = min(best, det(half))
+        _, cov = quality_rules.mcd(x, floor)
+        assert np.linalg.slogdet(cov)[1] <= best + 0.5
+
+
+def _plain_verdicts(rows):
+    """The whole rule in numpy, for groups of one block: (distance2, kept) by row."""
+    import numpy as np
+
+    q, floor = quality_rules, np.array(quality_rules.FLOOR)
+    found = [q.statistics(None if t is None else t.encode()) for _, t, _, _ in rows]
+    x = np.array([f[5] for f in found])
+    groups = {}
+    for k, (_, _, lang, source) in enumerate(rows):
+        groups.setdefault((lang, source), []).append(k)
+    of = lambda at: q.mcd(x[at])
+    far = lambda x, mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    mixed = lambda n, own, wide: [(n * a + q.PRIOR * b) / (n + q.PRIOR) for a, b in zip(own, wide, strict=True)]
+    every, out = of(range(len(rows))), {}
+    for (lang, _), at in groups.items():
+        own_lang = [k for k, r in enumerate(rows) if r[2] == lang]
+        mean, cov = of(at)
+        for _ in range(q.STEPS):
+            d = far(x[at], mean, cov)
+            half = x[at][d <= np.sort(d)[(len(at) + 1) // 2 - 1]]
+            mean, cov = half.mean(0), np.cov(half, rowvar=False, bias=True).reshape(7, 7) + np.diag(floor**2)
+        mean, cov = mixed(len(at), (mean, cov), mixed(len(own_lang), of(own_lang), every))
+        d = far(x[at], mean, cov)
+        scale = max(1.0, np.sort(d)[(len(at) + 1) // 2 - 1] / q.chi2_quantile(7, 0.5))
+        d /= (len(at) * scale + q.PRIOR) / (len(at) + q.PRIOR)
+        for k, v in zip(at, d, strict=True):
+            n, repeats = found[k][0], found[k][4]
+            out[k] = (float(v), not (n < 50 or 100 * repeats > 50 * n) and v <= q.chi2_quantile(7, q.TAIL))
+    return [out[k] for k in range(len(rows))]
+
+
+def test_verdicts_against_a_plain_computation(spark):
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    rows = []
+    for k in range(260):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(40, 400))]
+        if k % 11 == 0:
+            words = [w + rng.choice(["##", "$$$", "|||"]) for w in words]
+        rows.append((k, " ".join(words), rng.choice(["en", "fr", None]), rng.choice(["s1", "s2", None, "rare"] if k % 20 else ["one"])))
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    expected = _plain_verdicts(rows)
+    assert [k for k, (d, kept) in enumerate(expected) if abs(got[k].distance2 - d) > 0.01 * d + 1e-9 or got[k].kept != kept] == []
+    assert {kept for _, kept in expected} == {True, False}
+
+
 def test_quality_of_odd_documents(spark):
     found = quality_rules.judged(odd.docs(spark)).collect()
-    assert len(found) == len(odd.rows()) and all(r.distance2 is None for r in found)
-    assert all(r.kept == (not r.base_failed) for r in found) and quality_rules.judged(odd.empty(spark)).isEmpty()
+    expected = _plain_verdicts([(r[0], r[1], r[2], r[3]) for r in odd.rows()])
+    failed = [len((r[1] or "").encode().split()) < 50 for r in odd.rows()]
+    assert len(found) == len(odd.rows()) and all(r.distance2 is not None for r in found)
+    assert sum(r.kept for r in found) == sum(kept for _, kept in expected) and sum(r.n_words < 50 for r in found) == sum(failed)
+    assert quality_rules.judged(odd.empty(spark)).isEmpty()
 
 
 def test_junk_is_rejected_and_clean_documents_stay(spark, data):
