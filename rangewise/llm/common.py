@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,12 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 #: Characters (or bytes) of text worked on together.
 SLICE_BYTES = 4 << 20
+#: Words whose hashes a worker keeps.
+KNOWN_WORDS = 300_000
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables that written() has made and dropped() has not deleted yet.
+_scratch: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,36 +42,54 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage is
-    cut, a lost executor loses nothing, and later scans prune columns."""
+    cut, a lost executor loses nothing, and later scans prune columns. Its shuffle files
+    end with it (where Spark can do so)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rangewise-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:  # no later plan reads this one's shuffles
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    _scratch.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that no plan needs any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/rangewise-" in path:
-            _drop(df.sparkSession, path)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables made by written() that no plan needs any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/rangewise-" in path:
+                _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended; its folder goes with the cluster
-        return
+    _scratch.discard(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@atexit.register
+def _drop_all() -> None:
+    """At the end of the program; where the session has ended before, its folder goes
+    with the cluster."""
+    spark = SparkSession.getActiveSession()
+    for path in sorted(_scratch) if spark else ():
+        _drop(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
     """Where the session has Spark's default of 10,000 rows an Arrow batch, which whole
-    texts make too large, ask for fewer; a session's own setting stays."""
+    texts make too large, ask for fewer; a session's own setting stays. As plans are run
+    later, by whoever asks for their rows, the setting stays with the session."""
     if spark.conf.get(_BATCH_ROWS) == "10000":
         spark.conf.set(_BATCH_ROWS, "1000")
 
@@ -111,3 +138,49 @@ def over_texts(
 
     small_batches(docs.sparkSession)
     return ids.mapInArrow(run, f"doc_id {id_type}, {kept}{schema}")
+
+
+class WordHashes:
+    """Hashes of words and of runs of words; those of words are kept (bounded)."""
+
+    def __init__(self, seed: int):
+        self.seed, self.known = seed, {}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known, digest = self.known, xxhash.xxh64_intdigest
+        hashes = [known.get(w) for w in words]
+        if None in hashes:
+            for w in set(words):
+                if w not in known:
+                    known[w] = digest(w, self.seed)
+            hashes = [known[w] for w in words]
+        return np.array(hashes, np.uint64)
+
+
+@lru_cache
+def _powers(n: int) -> np.ndarray:
+    return np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(n)], np.uint64)
+
+
+def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words, from the words' hashes: a polynomial, mixed."""
+    grams = np.lib.stride_tricks.sliding_window_view(hashes, n) @ _powers(n)
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    grams ^= grams >> np.uint64(32)
+    return grams
+
+
+def learned(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """What fit makes of a bounded sample, in one task: the driver gets the result only,
+    and a lost executor costs a retry. fit gets the rows in no particular order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(held)))], pa.binary())], names=["made"])
+
+    made = sample.repartition(1).mapInArrow(run, "made binary").first()
+    return pickle.loads(made["made"]) if made else None

@@ -6,15 +6,22 @@ any tree can prune. So a document is represented by a few short parts, chosen by
 (the smallest hashes of their first words, which near copies have in common); an edit
 changes few of them, and the others' fingerprints stay within RADIUS bits. Close part
 fingerprints are found through the vantage-point trees and form clusters; each
-document of a cluster is compared with two of its members, the smallest one and the one
-that has most parts in common with others (an original among its edited copies), by the
-Jaccard similarity of all shingles. This links most copies with few comparisons.
+document of a cluster is compared with two of its members of like size, the shortest one
+(with the least of its own beside what all have) and the one that has most parts in
+common with others (an original among its edited copies), by the Jaccard similarity of
+all shingles. This links most copies with few comparisons.
 
 What it leaves apart goes through an exact prefix-filter join. Shingles have one order,
 those seldom in a sample first; two texts that are similar enough share a shingle among
-the first n - ceil(similarity * n) + 1 of each. Texts that meet there, are not linked
-yet, and whose sizes and common first shingles allow the similarity are all compared.
-So every pair at the threshold ends in one group.
+the first n - ceil(similarity * n) + 1 of each. Every text that meets others there is
+compared with one of them; then all that meet, are not linked yet, and whose sizes
+and places of common first shingles allow the similarity are compared. So every pair
+at the threshold ends in one group, and pairs within a group are not enumerated.
+
+Shingles are hashed to 64 bits where texts are looked up by them, however many texts
+there are, and to SET_BITS where two texts' sets are compared. There a chance collision
+can make two texts of n shingles each share one more, once in 2 ** SET_BITS / n ** 2
+comparisons; it never hides a pair.
 """
 
 from __future__ import annotations
@@ -24,59 +31,115 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rangewise.llm.common import over_texts, small_batches, written
+from rangewise.llm.common import WordHashes, dropped, over_texts, runs_of, slices, small_batches, written
 from rangewise.llm.components import components
-from rangewise.llm.simhash import RADIUS, fingerprints_of, linked
+from rangewise.llm.simhash import RADIUS, majority, linked
+from rangewise.llm.simhash import SHINGLE as PRINT_SHINGLE
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Parts of a document, words of a part, and words whose hash chooses it.
 PARTS, PART_WORDS, FIRST_WORDS = 8, 12, 4
+#: Parts that a text has in common with a leader it is compared with, where it has as
+#: many and LONG shingles; pairs with fewer are left to the exact join.
+COMMON_PARTS, LONG = 2, 24
+#: Times that texts are compared with one further text each before all pairs are.
+ROUNDS = 1
+SET_BITS = 32
+#: Bits of a text's parities.
+PARITIES = 512
+#: Rows whose ids are broadcast (some 50 MB); more are joined by shuffle.
+FEW_ROWS = 2_000_000
 _SEED = 9
 #: Texts, and their most frequent shingles, that the order of shingles is learned from;
 #: any order gives the same result.
 SAMPLE, FREQUENT = 10_000, 100_000
 
 
-def parts_of(words: list[bytes]) -> list[bytes]:
-    """The parts that represent a text; a text without words is one empty part."""
-    if len(words) <= PART_WORDS:
-        return [b" ".join(words)]
-    starts = range(len(words) - PART_WORDS + 1)
-    digest = xxhash.xxh64_intdigest
-    best: dict[int, int] = {}
-    for k in starts:
-        best.setdefault(digest(b" ".join(words[k : k + FIRST_WORDS]), _SEED), k)
-    return [b" ".join(words[best[h] : best[h] + PART_WORDS]) for h in sorted(best)[:PARTS]]
+def words_of(raw: bytes | None) -> list[bytes]:
+    """Words with A-Z lower-cased; null has none."""
+    return raw.lower().split() if raw else []
 
 
-def shingles_of(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+def parts_of(hashes: np.ndarray) -> np.ndarray:
+    """Distinct fingerprints of the parts that represent a text, from its words' hashes;
+    a text of few words is one part, and one without words has fingerprint zero."""
+    n = len(hashes)
+    if n <= PART_WORDS:
+        return majority(runs_of(hashes, min(PRINT_SHINGLE, n))[None]) if n else np.zeros(1, np.uint64)
+    _, first = np.unique(runs_of(hashes, FIRST_WORDS)[: n - PART_WORDS + 1], return_index=True)
+    within = np.arange(PART_WORDS - PRINT_SHINGLE + 1)
+    return np.unique(majority(runs_of(hashes, PRINT_SHINGLE)[first[:PARTS, None] + within]))
+
+
+def shingles_of(hashes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of a text's shingles; fewer words are one shingle, none none."""
-    words = raw.lower().split() if raw else []
-    if not words:
-        return np.zeros(0, np.int64)
-    own = [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)), strict=False)] or [b" ".join(words)]
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, _SEED) for s in own], np.uint64)).view(np.int64)
+    return np.unique(runs_of(hashes, min(shingle, len(hashes)))) if len(hashes) else np.zeros(0, np.uint64)
+
+
+def parity_of(shingles: np.ndarray) -> np.ndarray:
+    """PARITIES bits, each set if an odd number of shingles fall to it. A shingle that only
+    one of two texts has turns one bit, so two texts differ in as many shingles at least as
+    in bits."""
+    odd = np.bincount((shingles & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _surveyed(docs: DataFrame, shingle: int, id_col: str, text_col: str, more: tuple[str, ...]) -> DataFrame:
-    """(doc_id, more, key, parts, shingles): key names the words, parts are distinct
-    fingerprints, shingles distinct hashes."""
+def _frequent(docs: DataFrame, shingle: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles most often found in about SAMPLE different texts, sorted, and the
+    numbers of those texts that have them."""
+    texts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text")).filter("text is not null")
+    n = texts.count()
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40) < min(1.0, SAMPLE / max(n, 1))).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes(_SEED)
+        for part in slices(batches, 0):
+            found = [shingles_of(known.of(words_of(t)), shingle).view(np.int64) for t in part.column(0).to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["token"])
+
+    small_batches(docs.sparkSession)
+    often = some.mapInArrow(run, "token long").groupBy("token").count().filter("count > 1").orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    tokens, counts = (often[c].to_numpy() for c in ("token", "count"))
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def _surveyed(docs: DataFrame, often, similarity: float, shingle: int, id_col: str, text_col: str, more: tuple[str, ...]) -> DataFrame:
+    """(doc_id, more, key, n, parts, tokens, parity, shingles): key names the words, n is
+    the number of shingles, parts are distinct fingerprints, tokens the first shingles, in
+    an order that puts those frequent in a sample (the broadcast `often`) last, parity see
+    parity_of(), and shingles the set of all."""
+    known: list[WordHashes] = []
+
+    def first(own: np.ndarray) -> np.ndarray:
+        tokens, counts = often.value
+        x = own.view(np.int64)
+        seen = np.zeros(len(x), np.int64)
+        if len(tokens) and len(x):
+            at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
+            seen = np.where(tokens[at] == x, counts[at], 0)
+        # never shorter by a rounding error
+        return x[np.lexsort((x, seen))][: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1]
 
     def work(texts):
-        words = [t.lower().split() if t else [] for t in texts]
-        parts = [parts_of(w) for w in words]
-        prints = fingerprints_of([p for own in parts for p in own]).view(np.int64)
-        ends = np.cumsum([0, *map(len, parts)])
+        known or known.append(WordHashes(_SEED))
+        words = [words_of(t) for t in texts]
+        hashes = [known[0].of(w) for w in words]
+        sets = [shingles_of(h, shingle) for h in hashes]
         return {
             "key": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
-            "parts": pa.array([np.unique(prints[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.list_(pa.int64())),
-            "shingles": pa.array([shingles_of(t, shingle) for t in texts], pa.list_(pa.int64())),
+            "n": pa.array(list(map(len, sets)), pa.int32()),
+            "parts": pa.array([parts_of(h).view(np.int64) for h in hashes], pa.list_(pa.int64())),
+            "tokens": pa.array([first(s) for s in sets], pa.list_(pa.int64())),
+            "parity": pa.array([parity_of(s) for s in sets], pa.list_(pa.int64())),
+            "shingles": pa.array([np.unique((s >> np.uint64(64 - SET_BITS)).astype(np.uint32)).view(np.int32) for s in sets], pa.list_(pa.int32())),
         }
 
-    return over_texts(docs, work, "key binary, parts array<long>, shingles array<long>", id_col, text_col, more)
+    return over_texts(docs, work, "key binary, n int, parts array<long>, tokens array<long>, parity array<long>, shingles array<int>", id_col, text_col, more)
 
 
 def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -96,85 +159,131 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "of_a", "of_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _possible(pairs: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose parities allow the similarity."""
+    own = base.select("row", "n", "parity")
+    of = {x: own.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"of_{x}")) for x in "ab"}
+    turned = F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(turned, F.lit(0), lambda n, k: n + k)
+    most = (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    found = written(pairs.join(of["a"], "a").join(of["b"], "b").filter(apart <= most).select("a", "b"))
+    dropped(pairs)
+    return found
+
+
 def _compared(pairs: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of rows of base that are similar enough."""
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    sets = written(base.select("row", "shingles").join(wanted, "row", "left_semi"))
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b")), "b")
-    return written(_similar(both, similarity))
+    wanted = written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
+    few = wanted.count() <= FEW_ROWS
+    sets = written(base.select("row", "shingles").join(F.broadcast(wanted) if few else wanted, "row", "left_semi"))
+    of = {x: sets.select(F.col("row").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab"}
+    found = written(_similar(pairs.join(of["a"], "a").join(of["b"], "b"), similarity))
+    dropped(pairs, wanted, sets)
+    return found
+
+
+def _fits(similarity: float):
+    """Whether the sizes of two sets allow the similarity."""
+    return (F.col("n_a") >= similarity * F.col("n_b") - 1e-6) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-6)
 
 
-def _led(first: DataFrame, radius: int) -> DataFrame:
-    """(a, b): the members of each cluster of the parts (row, fp), with its two leaders."""
+def _led(first: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): the members of each cluster of the parts (row, n, fp), with its two
+    leaders, where sizes and common parts make a similar pair likely. Members of a
+    cluster whose sizes no similar pair has are clusters of their own."""
     close = components(linked(first.select("fp").distinct(), radius))
-    clusters = first.join(close.withColumnRenamed("vertex", "fp"), "fp", "left").select("row", F.coalesce("root", "fp").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size")).filter("size > 1")
-    members = written(clusters.join(sizes, "cluster"))
+    sized = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / -float(np.log(similarity))).alias("sized")
+    clusters = first.join(close.withColumnRenamed("vertex", "fp"), "fp", "left").select("row", "n", F.coalesce("root", "fp").alias("cluster"), sized).distinct()
+    sizes = clusters.groupBy("cluster", "sized").agg(F.count("*").alias("size")).filter("size > 1")
+    members = written(clusters.join(sizes, ["cluster", "sized"]))
     common = members.groupBy("row").agg(F.sum("size").alias("common"))
-    members = members.join(common, "row")
-    most = F.min_by("row", F.struct(-F.col("common"), "row"))
-    leaders = members.groupBy("cluster").agg(F.array_distinct(F.array(F.min("row"), most)).alias("leaders"))
-    pairs = members.join(leaders, "cluster").select("row", F.explode("leaders").alias("leader")).filter("row != leader")
-    return written(pairs.select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b")).distinct())
-
-
-def _prefixes(base: DataFrame, similarity: float) -> DataFrame:
-    """(row, n, tokens): the number of a text's shingles and the first of them, in an
-    order that puts those frequent in a sample last."""
-    n = base.count()
-    some = base.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40) < min(1.0, SAMPLE / max(n, 1)))
-    often = some.select(F.explode("shingles").alias("token")).groupBy("token").count().filter("count > 1").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    often.sort(key=lambda r: r["token"])
-    learned = base.sparkSession.sparkContext.broadcast((np.array([r["token"] for r in often], np.int64), np.array([r["count"] for r in often], np.int64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = learned.value
-        for part in batches:
-            sizes, tokens = [], []
-            for own in part.column(1):
-                x = own.values.to_numpy()
-                seen = np.zeros(len(x), np.int64)
-                if len(known) and len(x):
-                    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                    seen = np.where(known[at] == x, counts[at], 0)
-                sizes.append(len(x))
-                # never shorter by a rounding error
-                tokens.append(x[np.lexsort((x, seen))][: len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["row", "n", "tokens"])
-
-    small_batches(base.sparkSession)
-    return base.select("row", "shingles").mapInArrow(run, "row long, n int, tokens array<long>")
-
-
-def _rest(base: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts in different components that may be similar enough."""
-    first = _prefixes(base, similarity).join(classes.select("row"), "row", "left_semi").join(roots.withColumnRenamed("vertex", "row"), "row", "left")
-    tokens = first.select("row", "n", F.coalesce("root", "row").alias("root"), F.explode("tokens").alias("token"))
-    tokens = written(tokens)
-    shared = tokens.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
-    own = written(tokens.join(shared, "token", "left_semi"))
-    a, b = (own.select("token", F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
-    fits = (F.col("n_a") >= similarity * F.col("n_b") - 1e-6) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-6)
-    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits)
-    # common shingles are among both texts' first ones, or behind the first ones of one
-    behind = F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-6) - 1
-    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
-    return written(met.filter(F.col("both") + behind >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b"))
-
-
-def grouped(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    of = F.struct("n", "row")
+    most = F.min_by(of, F.struct(-F.col("common"), "row"))
+    leaders = members.join(common, "row").groupBy("cluster", "sized").agg(F.array_distinct(F.array(F.min(of), most)).alias("leaders"))
+    met = members.join(leaders, ["cluster", "sized"]).select("row", "n", F.explode("leaders").alias("leader")).filter("row != leader.row")
+    swap = F.col("row") > F.col("leader.row")
+    one, other = F.struct("n", "row"), F.col("leader")
+    met = met.select(F.when(swap, other).otherwise(one).alias("x"), F.when(swap, one).otherwise(other).alias("y"))
+    met = met.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).agg(F.count("*").alias("common"))
+    likely = (F.col("common") >= COMMON_PARTS) | (F.least("n_a", "n_b") < LONG)
+    found = written(met.filter(_fits(similarity) & likely).select("a", "b"))
+    dropped(members, close)
+    return found
+
+
+def _apart(tokens: DataFrame, roots: DataFrame) -> DataFrame:
+    """tokens (row, n, at, token) of shingles found in several components, with root."""
+    own = tokens.select("row", "n", "at", "token").join(roots.withColumnRenamed("vertex", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    apart = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
+    return written(own.join(apart, "token", "left_semi"))
+
+
+def _able(similarity: float):
+    """At their first common shingle, at places at_a and at_b of one order, two texts have at
+    most the shingles from there on in common: whether those are enough."""
+    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed
+
+
+def _nearest(own: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each text with one of another component, the one it shares most of its
+    first shingles with among those that come to a shingle soonest (which have the
+    fewest seldom ones, as the centre of a group of copies has)."""
+    of = ("at", "n", "row", "root")
+    soonest = own.groupBy("token").agg(F.min(F.struct(*of)).alias("b"))
+    met = own.join(soonest, "token").select(*[F.col(c).alias(f"{c}_a") for c in of], *[F.col(f"b.{c}").alias(f"{c}_b") for c in of])
+    met = met.filter((F.col("root_a") != F.col("root_b")) & _fits(similarity) & _able(similarity))
+    met = met.groupBy("row_a", "row_b").agg(F.count("*").alias("both")).groupBy("row_a").agg(F.max_by("row_b", F.struct("both", "row_b")).alias("row_b"))
+    return written(met.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct())
+
+
+def _rest(own: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts in different components that may be similar enough.
+
+    A pair is looked at where its first common shingle is, so not where the shingle before,
+    of those several texts have, is common too; and left out where it meets too far on."""
+    before = F.lag("token").over(Window.partitionBy("row").orderBy("at"))
+    own = own.withColumn("before", before)
+    a, b = (own.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "root", "at", "before")]) for x in "ab")
+    first = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
+    apart = (F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b"))
+    met = a.join(b, "token").filter(apart & first & _fits(similarity) & _able(similarity))
+    return written(met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct())
+
+
+def grouped(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    more: tuple[str, ...] = (),
+) -> DataFrame:
     """(doc_id, more, key, root) for every row: rows of one root are a group. Texts of the
     same words (A-Z lower-cased) are one; further ones are joined by similarity. Null
     and empty texts have no words and are copies of each other."""
-    surveyed = _surveyed(docs, shingle, id_col, text_col, more)
+    often = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle, text_col))  # FREQUENT rows at most
+    surveyed = _surveyed(docs, often, similarity, shingle, id_col, text_col, more)
     base = written(surveyed.withColumn("row", F.monotonically_increasing_id()))
+    often.destroy()
     classes = written(base.groupBy("key").agg(F.min("row").alias("row")))
-    first = written(base.select("row", "parts").join(classes.select("row"), "row", "left_semi").select("row", F.explode("parts").alias("fp")))
-    led = _compared(_led(first, radius), base, similarity)
-    rest = _compared(_rest(base, classes, components(led), similarity), base, similarity)
-    roots = components(led.union(rest))
+    rows = classes.select("row")
+    first = written(base.select("row", "n", "parts").join(rows, "row", "left_semi").select("row", "n", F.explode("parts").alias("fp")))
+    roots = components(_compared(_led(first, radius, similarity), base, similarity))
+    tokens = base.select("row", "n", "tokens").join(rows, "row", "left_semi")
+    tokens = written(tokens.select("row", "n", F.posexplode("tokens").alias("at", "token")))
+    for last in [False] * ROUNDS + [True]:
+        apart = _apart(tokens, roots)
+        found = _compared(_possible(_rest(apart, similarity), base, similarity) if last else _nearest(apart, similarity), base, similarity)
+        before, roots = roots, components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(found))
+        dropped(tokens, found, before)
+        tokens = apart  # no other shingle can join two components any more
+    dropped(apart, first)
     roots = classes.join(roots.withColumnRenamed("vertex", "row"), "row", "left").select("key", F.coalesce("root", "row").alias("root"))
-    return base.select("doc_id", *more, "key").join(roots, "key")
+    found = written(base.select("doc_id", *more, "key").join(roots, "key"))
+    dropped(base, classes)
+    return found
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,5 +292,5 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     Rows without an id are left out; rows of one id with different texts are each
     grouped, and then the id has several rows. Other columns are not read."""
-    found = written(grouped(docs.filter(F.col(f"`{id_col}`").isNotNull()), similarity, shingle, radius, id_col, text_col))
+    found = grouped(docs.filter(F.col(f"`{id_col}`").isNotNull()), similarity, shingle, radius, id_col, text_col)
     return found.join(found.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("doc_id", "group_id")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewise.llm.common import over_texts, table, written
+from rangewise.llm.common import dropped, over_texts, table, written
 from rangewise.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -28,6 +28,8 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 #: sample a shard must have to be split; leaves compared directly.
 SAMPLE, SHARD, LEAST, LEAF = 65_536, 4096, 16, 256
 _CANDIDATES = 8
+#: Fingerprints that walk down the tree together.
+DEALT = 1 << 15
 
 
 def fingerprints_of(texts: list[bytes | None], shingle: int = SHINGLE) -> np.ndarray:
@@ -60,6 +62,13 @@ def fingerprints_of(texts: list[bytes | None], shingle: int = SHINGLE) -> np.nda
     return out
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of each row of hashes: a bit is set if it is in over half of them."""
+    rows, n = hashes.shape
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(rows, n, 8), axis=2, bitorder="little")
+    return np.packbits(bits.sum(axis=1, dtype=np.int32) * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row, fp as a signed long."""
     return over_texts(docs, lambda texts: {"fp": pa.array(fingerprints_of(texts, shingle).view(np.int64))}, "fp long", id_col, text_col)
@@ -163,20 +172,28 @@ def _tree(distinct: DataFrame, radius: int) -> Tree:
     """On at most about SAMPLE fingerprints, chosen by hash; all are indexed with it."""
     n = distinct.count()
     rank = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(1 << 40)) / float(1 << 40)
-    sample = distinct.filter(rank < min(1.0, SAMPLE / max(n, 1))).select("fp").collect()
-    return Tree(np.sort(np.array([r["fp"] for r in sample], np.int64)).view(np.uint64), n / max(len(sample), 1), radius)
+    sample = np.sort(distinct.filter(rank < min(1.0, SAMPLE / max(n, 1))).select("fp").toArrow()["fp"].to_numpy())
+    return Tree(sample.view(np.uint64), n / max(len(sample), 1), radius)
 
 
-def sharded(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(shard, fp): every fingerprint in its shard, and copies near borders."""
-    tree = distinct.sparkSession.sparkContext.broadcast(_tree(distinct, radius))
+def sharded(distinct: DataFrame, tree) -> DataFrame:
+    """(shard, fp): every fingerprint in its shard of the broadcast tree, and copies near
+    borders."""
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        fp = np.concatenate(held)
+        shard, place = tree.value.deal(fp.view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[place])], names=["shard", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            if len(fp):
-                shard, place = tree.value.deal(fp.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[place])], names=["shard", "fp"])
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) >= DEALT:
+                yield dealt(held)
+                held = []
+        if sum(map(len, held)):
+            yield dealt(held)
 
     return distinct.select("fp").mapInArrow(run, "shard int, fp long")
 
@@ -191,7 +208,7 @@ def close(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return sharded(distinct, radius).groupBy("shard").applyInArrow(one, "a long, b long").distinct()
+    return _by_shard(distinct, radius, one).distinct()
 
 
 def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -204,7 +221,15 @@ def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         own = np.flatnonzero(root != np.arange(len(fp)))
         return pa.table({"a": fp[own], "b": fp[root[own]]})
 
-    return sharded(distinct, radius).groupBy("shard").applyInArrow(one, "a long, b long")
+    return _by_shard(distinct, radius, one)
+
+
+def _by_shard(distinct: DataFrame, radius: int, one) -> DataFrame:
+    """What `one` finds in each shard, written; the tree's broadcast ends with it."""
+    tree = distinct.sparkSession.sparkContext.broadcast(_tree(distinct, radius))
+    found = written(sharded(distinct, tree).groupBy("shard").applyInArrow(one, "a long, b long"))
+    tree.destroy()
+    return found
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +241,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     are null. Repeated rows are copies. Other columns are not read."""
     prints = written(fingerprints(docs, shingle, id_col, text_col))
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(linked(distinct, radius))
+    links = linked(distinct, radius)
+    roots = components(links)
+    dropped(links)
     rooted = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     of_root = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = written(rooted.join(of_root, "root").select("fp", "component_id"))
