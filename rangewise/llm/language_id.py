@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewise.llm.common import over_texts, slices, table
+from rangewise.llm.common import learned, over_texts, slices, small_batches, table, written
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4, 5), 12, 6
-#: Bounds of the training sample: documents over all languages, windows of each.
-TRAIN_DOCS, TRAIN_WINDOWS = 3000, 4
+#: Bounds of the training sample: documents over all languages, of each language at
+#: least (every language is learned), and windows of each document.
+TRAIN_DOCS, LEAST_DOCS, TRAIN_WINDOWS = 3000, 10, 4
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 7
 UND = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -74,7 +75,8 @@ def fit(rows: np.ndarray, labels: list[str]) -> Network:
     """Adam on the cross entropy, classes weighted to count alike; gradients reach a
     filter through the patch that its maximum came from."""
     names = tuple(sorted(set(labels)))
-    y = np.array([names.index(x) for x in labels])
+    at = {x: k for k, x in enumerate(names)}
+    y = np.array([at[x] for x in labels])
     weight = (len(y) / (len(names) * np.bincount(y, minlength=len(names))))[y].astype(np.float32)
     rng = np.random.default_rng(SEED)
     p = {"embed": rng.normal(0, 0.5, (256, EMBED))}
@@ -131,19 +133,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 3 == 1, F.lit(False))
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[np.ndarray, list[str]]:
-    """Windows and labels of at most about TRAIN_DOCS documents, chosen by a hash of
-    the id, as many of each language as there are; each gives up to TRAIN_WINDOWS."""
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(bytes, lang): windows of about TRAIN_DOCS documents, as many of each language as
+    there are, and of more where languages are so many that one would have fewer than
+    LEAST_DOCS. Documents are chosen by a hash and repeated rows count once; each gives
+    up to TRAIN_WINDOWS."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     own = own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TRAIN_DOCS // 10).collect()}
-    if not sizes:
-        return np.zeros((0, WINDOW), np.uint8), []
-    share = TRAIN_DOCS / len(sizes)
-    cut = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, share / n)))])
-    rank = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = own.filter(rank < F.coalesce(F.try_element_at(cut, F.col("lang")), F.lit(0.0)))
-    chosen = chosen.select("doc_id", F.col("text").cast("binary").alias("text"), "lang")
+    sizes = written(own.groupBy("lang").agg(F.count("*").alias("n")))  # of a known size, so that texts don't move
+    share = max(LEAST_DOCS, TRAIN_DOCS / max(1, sizes.count()))
+    rank = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = own.join(sizes, "lang").filter(rank < share / F.col("n")).select("doc_id", F.col("text").cast("binary").alias("text"), "lang").distinct()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -156,15 +156,20 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple
                         langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(langs, pa.string())], names=["bytes", "lang"])
 
-    found = sorted((r["lang"], bytes(r["bytes"])) for r in chosen.mapInArrow(cut_up, "bytes binary, lang string").collect())
-    return np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(-1, WINDOW), [lang for lang, _ in found]
+    small_batches(docs.sparkSession)
+    return chosen.mapInArrow(cut_up, "bytes binary, lang string")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """Fit on the rows that are not held out and have text and lang; None where no
-    such row has a letter. Repeated rows repeat in the sample."""
-    rows, labels = _sample(docs, id_col, text_col, lang_col)
-    return fit(rows, labels) if labels else None
+    """Fit, in one task, on the rows that are not held out and have text and lang; None
+    where no such row has a letter."""
+
+    def one(sample: pa.Table) -> Network:
+        found = sorted(zip(sample["lang"].to_pylist(), sample["bytes"].to_pylist(), strict=True))
+        rows = np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(-1, WINDOW)
+        return fit(rows, [lang for lang, _ in found])
+
+    return learned(_sample(docs, id_col, text_col, lang_col), one)
 
 
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewise.llm.common import over_texts, table
+from rangewise.llm.common import learned, over_texts, slices, small_batches, table
 from rangewise.llm.language_id import held_out
 
 WINDOW, STRIDE = 64, 48
 EMBED, HIDDEN = 10, 8
-#: Bounds of the training sample: documents of label 1 and 0, bytes of each.
+#: Bounds of the training sample: documents of label 1 and 0, bytes of each (of a longer
+#: text, windows spread over it).
 POSITIVE, NEGATIVE, TRAIN_BYTES = 1500, 2500, 16_000
 #: Common words and n-grams, and telling ones, that get an embedding of their own.
 COMMON, TELLING = 512, 4096
@@ -36,7 +38,7 @@ GRAMS = (4, 5)
 MARGIN = 2.0
 #: Pull to zero of the embeddings, and of the other weights.
 DECAY_EMBED, DECAY = 1e-3, 1e-4
-EPOCHS, BATCH, RATE, SEED = 4, 64, 0.01, 11
+EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 11
 THRESHOLD = 0.7
 CACHE = 300_000
 _WORD = re.compile(r"[^\W_]+")
@@ -183,8 +185,9 @@ def _telling(texts: list[list[str]], y: np.ndarray) -> tuple[dict[str, float], C
 
 def fit(texts: list[list[str]], labels: list[int]) -> Model:
     """Adam on windows: of a document of label 1 the one with the most telling
-    features; of the others that one and one more. Then a logistic calibration of the
-    documents' highest logits; the rarer label weighs more, by the root of the ratio."""
+    features, and the same one with its most telling word only, so that one is enough;
+    of the others the one with the most and one more. Then a logistic calibration of
+    the documents' highest logits; the rarer label weighs more, by the root of the ratio."""
     y = np.array(labels)
     rng = np.random.default_rng(SEED)
     telling, every = _telling(texts, y)
@@ -201,20 +204,27 @@ def fit(texts: list[list[str]], labels: list[int]) -> Model:
         p["emb"][k, 0] += min(odds, 8) / 8
     model = Model(vocabulary, {k: v.astype(np.float32) for k, v in p.items()})
     p = model.p
+    odds = np.array([*telling.values(), 0.0])
     rows: dict[str, list[int]] = {}
+    tells: dict[str, float] = {}
     picked, targets = [], []
     for own, label in zip(texts, y, strict=True):
         for w in own:
             if w not in rows:
                 rows[w] = model.rows(w)
+                tells[w] = float(odds[[r for r in rows[w] if r < len(telling)]].sum())
         hits = np.cumsum([0, *(sum(r < len(telling) for r in rows[w]) for w in own)])
         starts = list(window_starts(len(own)))
         most = max(starts, key=lambda s: (hits[min(s + WINDOW, len(own))] - hits[s], -s))
-        if label and len(telling) and hits[-1] == 0:
-            continue
         for s in {most} if label else {most, starts[int(rng.integers(len(starts)))]}:
             picked.append(own[s : s + WINDOW])
             targets.append(label)
+        if label:
+            window = own[most : most + WINDOW]
+            best = max(range(len(window)), key=lambda k: (tells[window[k]], -k), default=-1)
+            if best >= 0 and tells[window[best]]:
+                picked.append([w for k, w in enumerate(window) if k == best or not tells[w]])
+                targets.append(label)
     t = np.array(targets)
     weight = ((len(t) / (2 * np.maximum(1, np.bincount(t, minlength=2)))) ** 0.5)[t].astype(np.float32)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
@@ -288,10 +298,22 @@ def _gradient(model: Model, batch: list[list[list[int]]], y: np.ndarray, weight:
     return g
 
 
+def _drawn(raw: bytes) -> list[str]:
+    """The words of a text for training; of a text over TRAIN_BYTES those of windows
+    spread evenly over all of it."""
+    own = words_of(raw)
+    if len(raw) <= TRAIN_BYTES or len(own) <= WINDOW:
+        return own
+    starts = range(0, len(own) - WINDOW + 1, WINDOW)
+    some = max(1, min(len(starts), TRAIN_BYTES * len(own) // (WINDOW * len(raw))))
+    return [w for k in np.linspace(0, len(starts) - 1, some).astype(int) for w in own[starts[k] : starts[k] + WINDOW]]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Fit on about POSITIVE and NEGATIVE labelled rows that are not held out, chosen by
-    a hash of the id, with texts of at most TRAIN_BYTES. A document with several labels
-    has the largest. None where either label is missing."""
+    """Fit, in one task, on about POSITIVE and NEGATIVE labelled rows that are not held
+    out, chosen by a hash of the id, with about TRAIN_BYTES of each. A document with
+    several labels has the largest; repeated rows count once. None where either label
+    is missing."""
     own = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     own = own.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
     sizes = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -299,13 +321,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     rank = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     chosen = own.filter(rank < F.when(F.col("y") == 1, min(1.0, POSITIVE / sizes[1])).otherwise(min(1.0, NEGATIVE / sizes[0])))
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    texts = texts.filter(F.octet_length("text") <= TRAIN_BYTES)
-    found = texts.join(F.broadcast(chosen), "doc_id").collect()  # the sample's size is bounded above
-    found = sorted((r["doc_id"], bytes(r["text"]), r["y"]) for r in found)
-    if len({y for _, _, y in found}) < 2:
-        return None
-    return fit([words_of(t) for _, t, _ in found], [y for _, _, y in found])
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text")).filter("text is not null")
+    found = texts.join(F.broadcast(chosen), "doc_id").distinct()  # the sample's size is bounded above
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            cut = pa.array([" ".join(_drawn(t)) for t in part.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), cut, part.column(2)], names=["doc_id", "text", "y"])
+
+    def one(sample: pa.Table) -> Model | None:
+        rows = sorted(zip(*(sample[c].to_pylist() for c in ("doc_id", "text", "y")), strict=True))
+        y = [label for _, _, label in rows]
+        return fit([t.split() for _, t, _ in rows], y) if len(set(y)) == 2 else None
+
+    small_batches(docs.sparkSession)
+    return learned(found.mapInArrow(drawn, "doc_id string, text string, y int"), one)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
