@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rangewise.llm import decontaminate, language_id, mixing, near_copies, secret_scan
-from rangewise.llm.common import over_texts, table, written
+from rangewise.llm.common import dropped, over_texts, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,9 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     letter stay, and a missing language stays missing."""
     network = language_id.train(docs)
     if network is None:
-        return over_texts(docs, lambda texts: {"some": [language_id.has_letter(t) for t in texts]}, "some boolean", more=COLUMNS[1:]).filter("some").select(*COLUMNS)
-    found = language_id.identify(docs, network, keep=COLUMNS[1:])
-    return found.filter(F.col("lang_pred") != language_id.UND).select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+        letters = over_texts(docs, lambda texts: {"some": [language_id.has_letter(t) for t in texts]}, "some boolean", more=COLUMNS[1:])
+        return letters.filter("some").select(*COLUMNS)
+    found = language_id.identify(docs, network, keep=COLUMNS[1:]).filter(F.col("lang_pred") != language_id.UND)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +35,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and all columns, so that rows of one id with different texts are decided apart."""
     docs = docs.select(*COLUMNS).withColumn("own", F.xxhash64(*COLUMNS[1:]))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
-    rows = written(near_copies.grouped(docs, more=("own",)).select("root", place.alias("place")))
+    rows = near_copies.grouped(docs, more=("own",)).select("root", place.alias("place"))
     equal = rows.groupBy("root", "place").agg(F.count("*").alias("rows"))
     judged = equal.join(rows.groupBy("root").agg(F.min("place").alias("stays")), "root")
-    judged = written(judged.select(F.col("place.doc_id").alias("id"), F.col("place.own").alias("of"), (F.col("place") == F.col("stays")).alias("stays"), "rows"))
+    stays = (F.col("place") == F.col("stays")).alias("stays")
+    judged = written(judged.select(F.col("place.doc_id").alias("id"), F.col("place.own").alias("of"), stays, "rows"))
+    dropped(rows)
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("of"))
     alone = docs.join(judged.filter("not stays or rows > 1"), same, "left_anti")
     # of equal rows that are to stay, all but one go
@@ -57,8 +60,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of all sources to target weights, in shuffled shards."""
-    return mixing.shards(mixing.mix(docs, keep=("text", "lang", "source")))
+    """The mix of all sources to target weights, in shuffled shards; a document of which
+    the mix takes its first words only is cut to them."""
+    return mixing.shards(mixing.mix(docs, keep=("text", "lang", "source")), "text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
