@@ -6,10 +6,11 @@
    the same words form a class and are looked at once, as their smallest id.
 2. Around each recurring anchor lies a region: the windows that selected it. Equal
    regions are merged before they are dealt, by anchor, to shards of bounded size. There
-   the windows of all regions are counted: those found in two classes are confirmed, an
-   Aho-Corasick automaton over words (a character stands for a word) is compiled from
-   them, and all regions are streamed through it, which locates every occurrence and so
-   the first document of each.
+   windows that seem to recur are compiled into an Aho-Corasick automaton over words (a
+   character stands for a word). Every text is streamed through the automata of the
+   shards that its anchors lead to, in its regions; the rest of it has no window of
+   theirs. The matches confirm the passages, locate every occurrence and tell the first
+   document of each.
 3. Documents lose the words that a window with an earlier first document covers.
 
 An anchor with very many different regions (a common phrase in ever new surroundings)
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -29,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangewise.llm.common import over_texts, slices, small_batches, table, written
+from rangewise.llm.common import WordHashes, dropped, over_texts, runs_of, slices, small_batches, table, written
 
 WINDOW, GRAM = 50, 8
 #: Regions that a shard is meant to have, and that one anchor may have in its shard.
 SHARD, HOT = 1500, 6000
+#: Words that an automaton has letters for.
+LETTERS = 1_000_000
 #: Regions whose texts a task holds before it gives them out.
 HELD = 20_000
 _SEED = 5
@@ -41,27 +45,14 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 class Hasher:
-    """Anchors of word lists; hashes of words are kept (bounded)."""
+    """Anchors of word lists."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-        self.power = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(GRAM)], np.uint64)
+        self.hashes = WordHashes(_SEED)
 
     def anchors(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each window, the place of its anchor; and the anchor hash at each place."""
-        if len(self.known) > 300_000:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh64_intdigest
-        hashes = [known.get(w) for w in words]
-        if None in hashes:
-            for w in set(words):
-                if w not in known:
-                    known[w] = digest(w, _SEED)
-            hashes = [known[w] for w in words]
-        grams = np.lib.stride_tricks.sliding_window_view(np.array(hashes, np.uint64), GRAM) @ self.power
-        grams ^= grams >> np.uint64(29)
-        grams *= np.uint64(0xBF58476D1CE4E5B9)
-        grams ^= grams >> np.uint64(32)
+        grams = runs_of(self.hashes.of(words), GRAM)
         span = WINDOW - GRAM + 1
         place = np.empty(len(words) - WINDOW + 1, np.int64)
         view = np.lib.stride_tricks.sliding_window_view(grams, span)
@@ -142,54 +133,83 @@ def _regions(flagged: DataFrame) -> DataFrame:
 
 def located(texts: list[bytes], low: list, high: list) -> list[list[tuple[int, int, object]]]:
     """For each region the runs (first window, last window, first document) of its
-    confirmed windows. low and high: smallest and largest id that has the region."""
-    letters: dict[bytes, str] = {}
-    coded = []
-    for text in texts:
-        own = []
-        for w in text.split(b" "):
-            letter = letters.get(w)
-            if letter is None:
-                code = len(letters) + 1
-                letter = letters[w] = chr(code if code < 0xD800 else code + 0x800)
-            own.append(letter)
-        coded.append("".join(own))
-    first: dict[str, list] = {}
-    for text, lo, hi in zip(coded, low, high, strict=True):
-        for k in range(len(text) - WINDOW + 1):
-            window = text[k : k + WINDOW]
-            seen = first.get(window)
-            if seen is None:
-                first[window] = [lo, hi]
-            else:
-                seen[0], seen[1] = min(seen[0], lo), max(seen[1], hi)
+    recurring windows. low and high: smallest and largest id that has the region.
+
+    Windows whose hash stands in regions of two documents are compiled into the automaton;
+    its matches over all regions say where each one is, which document has it first, and
+    whether another one has it."""
+    letters: dict[bytes, int] = {}
+    codes = [np.array([letters.setdefault(w, len(letters) + 1) for w in text.split(b" ")], np.uint32) for text in texts]
+    coded = [np.where(c < 0xD800, c, c + 0x800).astype("<u4").tobytes().decode("utf-32-le") for c in codes]  # a letter for each word
+    ids = sorted({*low, *high})
+    rank = {x: k for k, x in enumerate(ids)}
+    lows, highs = (np.array([rank[x] for x in own], np.int64) for own in (low, high))
+    sizes = np.array([len(c) - WINDOW + 1 for c in codes])
+    hashes = np.concatenate([runs_of(c.astype(np.uint64), WINDOW) for c in codes])
+    region = np.repeat(np.arange(len(codes)), sizes)
+    _, of = np.unique(hashes, return_inverse=True)
+    least, most = np.full(of.max() + 1, len(ids)), np.full(of.max() + 1, -1)
+    np.minimum.at(least, of, lows[region])
+    np.maximum.at(most, of, highs[region])
+    starts = np.cumsum(sizes) - sizes
     automaton = ahocorasick.Automaton()
-    for window, (lo, hi) in first.items():
-        if lo < hi:
-            automaton.add_word(window, lo)
+    for at in np.flatnonzero((least < most)[of]).tolist():
+        r = int(region[at])
+        k = at - int(starts[r])
+        phrase = coded[r][k : k + WINDOW]
+        if not automaton.exists(phrase):
+            automaton.add_word(phrase, len(automaton))
     out: list[list[tuple[int, int, object]]] = [[] for _ in texts]
-    if len(automaton):
-        automaton.make_automaton()
-        for text, runs in zip(coded, out, strict=True):
-            for end, lo in automaton.iter(text):
-                at = end - WINDOW + 1
-                if runs and runs[-1][1] == at - 1 and runs[-1][2] == lo:
-                    runs[-1] = (runs[-1][0], at, lo)
+    if not len(automaton):
+        return out
+    automaton.make_automaton()
+    first, last = [len(ids)] * len(automaton), [-1] * len(automaton)
+    found: list[list[tuple[int, int]]] = []
+    for r, text in enumerate(coded):
+        found.append(list(automaton.iter(text)))
+        lo, hi = int(lows[r]), int(highs[r])
+        for _, phrase in found[-1]:
+            first[phrase], last[phrase] = min(first[phrase], lo), max(last[phrase], hi)
+    for matches, runs in zip(found, out, strict=True):
+        for end, phrase in matches:
+            if first[phrase] < last[phrase]:
+                at, doc = end - WINDOW + 1, ids[first[phrase]]
+                if runs and runs[-1][1] == at - 1 and runs[-1][2] == doc:
+                    runs[-1] = (runs[-1][0], at, doc)
                 else:
-                    runs.append((at, at, lo))
+                    runs.append((at, at, doc))
     return out
 
 
+def _portions(anchors: list[int], words: list[int]) -> Iterator[list[int]]:
+    """Places of regions, whole anchors together, in portions of at most LETTERS words, as
+    there are only so many letters (one anchor has at most HOT regions of 92 words)."""
+    held, n = [], 0
+    for _, own in groupby(sorted(range(len(anchors)), key=lambda k: anchors[k]), key=lambda k: anchors[k]):
+        own = list(own)
+        size = sum(words[k] for k in own)
+        if held and n + size > LETTERS:
+            yield held
+            held, n = [], 0
+        held += own
+        n += size
+    if held:
+        yield held
+
+
 def _found(regions: DataFrame, kind: str) -> DataFrame:
-    """(region, runs) of distinct regions (region, shard, text, low, high)."""
+    """(region, runs) of distinct regions (region, shard, anchor, text, low, high)."""
 
     def one(own: pa.Table) -> pa.Table:
-        low, high = own["low"].to_pylist(), own["high"].to_pylist()
-        runs = located(own["text"].to_pylist(), low, high)
-        keep = [k for k, r in enumerate(runs) if r]
+        texts, low, high = (own[c].to_pylist() for c in ("text", "low", "high"))
         struct = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("first", own["low"].type)]))
-        found = pa.array([[{"a": a, "b": b, "first": d} for a, b, d in runs[k]] for k in keep], struct)
-        return pa.table([own["region"].take(pa.array(keep, pa.int64())), found], names=["region", "runs"])
+        keep, found = [], []
+        for part in _portions(own["anchor"].to_pylist(), [t.count(b" ") + 1 for t in texts]):
+            for k, runs in zip(part, located(*([of[k] for k in part] for of in (texts, low, high))), strict=True):
+                if runs:
+                    keep.append(k)
+                    found.append([{"a": a, "b": b, "first": d} for a, b, d in runs])
+        return pa.table([own["region"].take(pa.array(keep, pa.int64())), pa.array(found, struct)], names=["region", "runs"])
 
     return regions.groupBy("shard").applyInArrow(one, f"region binary, runs array<struct<a: int, b: int, first: {kind}>>")
 
@@ -215,7 +235,8 @@ def _merged(texts: DataFrame, by: str) -> DataFrame:
     """Distinct regions, dealt by the shard in `by`: the texts move once, as the
     aggregation and the shards' groups need no other partitioning."""
     dealt = texts.repartition(by)
-    return dealt.groupBy(by, "region").agg(F.first("text").alias("text"), F.min("low").alias("low"), F.max("high").alias("high"))
+    own = {c: F.first(c).alias(c) for c in ("anchor", "text")}
+    return dealt.groupBy(by, "region").agg(*own.values(), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _all_runs(texts: DataFrame, kind: str, shard: int, hot: int) -> DataFrame:
@@ -237,7 +258,8 @@ def _all_runs(texts: DataFrame, kind: str, shard: int, hot: int) -> DataFrame:
     shards = max(1, -(-windows.count() // shard))
     lent = own.select("region", "text").join(windows, "region").dropDuplicates(["window"])
     words = F.array_join(F.slice(F.split(F.col("text").cast("string"), " "), F.col("at") + 1, WINDOW), " ").cast("binary")
-    single = lent.select(F.col("window").alias("region"), words.alias("text"), "low", "high", F.pmod(F.xxhash64("window"), F.lit(shards)).cast("int").alias("shard"))
+    named = F.xxhash64("window")
+    single = lent.select(F.col("window").alias("region"), named.alias("anchor"), words.alias("text"), "low", "high", F.pmod(named, F.lit(shards)).cast("int").alias("shard"))
     single = _found(single, kind).select(F.col("region").alias("window"), F.col("runs")[0]["first"].alias("first"))
     back = cut.select("region", "at", "window").distinct().join(single, "window").groupBy("region").agg(F.collect_list(F.struct(F.col("at").alias("a"), F.col("at").alias("b"), "first")).alias("runs"))
     return plain.unionByName(back)
@@ -286,6 +308,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     at = at.withColumn("spans", F.transform(earlier, lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))).filter(F.size("spans") > 0)
     spans = written(at.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")))  # of one text each
     kept = _kept(flagged.select("doc_id", "key", "text").join(spans, ["doc_id", "key"])).dropDuplicates(["doc_id", "key"]).join(spans, ["doc_id", "key"])
+    kept = written(kept)
+    dropped(flagged, flags, regions, runs, spans)
     classes = classes.join(kept, ["key", "doc_id"], "left").withColumnRenamed("doc_id", "first_id")
     rows = base.drop("anchors").join(classes, "key", "left")
     copy = F.coalesce((F.col("n_words") >= WINDOW) & (F.col("doc_id") > F.col("first_id")), F.lit(False))

@@ -19,6 +19,11 @@ def text(rng, n):
     return " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
 
 
+def _shingles(t, n=5):
+    w = t.lower().split()
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
 def _prints(raw, n=3):
     words = (raw or "").lower().encode().split()
     own = [b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))] if words else []
@@ -124,6 +129,44 @@ def test_passages_against_brute_force(spark, hot):
     assert odd.counted(map(tuple, got)) == odd.counted(_windows(rows))
 
 
+def test_the_automaton_locates(monkeypatch):
+    """Matches alone decide: without them nothing is found; hashes that all collide change nothing."""
+    rng = random.Random(8)
+    passage = text(rng, 70)
+    texts = [f"{text(rng, 9)} {passage}".encode(), f"{passage} {text(rng, 12)}".encode(), text(rng, 80).encode()]
+    expected = [[(9, 29, 1)], [(0, 20, 1)], []]
+    assert substring_dedup.located(texts, [1, 4, 2], [1, 4, 2]) == expected
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup, "runs_of", lambda c, n: np.zeros(len(c) - n + 1, np.uint64))
+        assert substring_dedup.located(texts, [1, 4, 2], [1, 4, 2]) == expected
+
+    class Deaf:
+        def __init__(self):
+            self.own = made()
+
+        def __len__(self):
+            return len(self.own)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def iter(self, _):
+            return iter(())
+
+    made = substring_dedup.ahocorasick.Automaton
+
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup.ahocorasick, "Automaton", Deaf)
+        assert substring_dedup.located(texts, [1, 4, 2], [1, 4, 2]) == [[], [], []]
+
+
+def test_portions_keep_anchors_together(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LETTERS", 100)
+    anchors, words = [3, 1, 3, 2, 1, 5], [60, 50, 60, 50, 40, 10]
+    got = list(substring_dedup._portions(anchors, words))
+    assert got == [[1, 4], [3], [0, 2], [5]]
+
+
 def test_passages_of_odd_documents(spark):
     got = substring_dedup.dedup(odd.docs(spark)).drop("spans").collect()
     assert odd.counted(map(tuple, got)) == odd.counted(_windows([(r[0], r[1]) for r in odd.rows()]))
@@ -158,7 +201,7 @@ def test_an_original_links_its_copies(spark):
             w[k] = text(rng, 1)
         copies.append(" ".join(w))
     texts = copies[:6] + [" ".join(base)] + copies[6:]
-    shingles = [set(near_copies.shingles_of(t.encode()).tolist()) for t in texts]
+    shingles = [_shingles(t) for t in texts]
     near = lambda i, j: len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])
     assert all(near(6, k) for k in range(13)) and sum(near(0, k) for k in range(1, 13) if k != 6) < 11
     assert {r.group_id for r in near_copies.near_copies(odd.of(spark, texts)).collect()} == {0}
@@ -321,7 +364,7 @@ def test_stages_on_odd_documents(spark, data):
 
 
 def _similar_groups(texts):
-    sets = [set(near_copies.shingles_of(t.encode()).tolist()) for t in texts]
+    sets = [_shingles(t) for t in texts]
     return _roots(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
 
 
