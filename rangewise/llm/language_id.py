@@ -72,6 +72,13 @@ class Network:
 
 
 def fit(rows: np.ndarray, labels: list[str]) -> Network:
+    """A network with embedding and filters multiplied out to tables."""
+    p = weights(rows, labels)
+    places = tuple(tuple(np.ascontiguousarray(p["embed"] @ p[f"f{w}"][j * EMBED : (j + 1) * EMBED]) for j in range(w)) for w in WIDTHS)
+    return Network(tuple(sorted(set(labels))), places, tuple(p[f"b{w}"] for w in WIDTHS), p["out"], p["bias"])
+
+
+def weights(rows: np.ndarray, labels: list[str]) -> dict[str, np.ndarray]:
     """Adam on the cross entropy, classes weighted to count alike; gradients reach a
     filter through the patch that its maximum came from."""
     names = tuple(sorted(set(labels)))
@@ -124,8 +131,7 @@ def fit(rows: np.ndarray, labels: list[str]) -> Network:
                 m[key] = 0.9 * m[key] + 0.1 * grad
                 v[key] = 0.999 * v[key] + 0.001 * grad * grad
                 p[key] -= RATE * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
-    places = tuple(tuple(np.ascontiguousarray(p["embed"] @ p[f"f{w}"][j * EMBED : (j + 1) * EMBED]) for j in range(w)) for w in WIDTHS)
-    return Network(names, places, tuple(p[f"b{w}"] for w in WIDTHS), p["out"], p["bias"])
+    return p
 
 
 def held_out(id_col: str = "doc_id") -> Column:

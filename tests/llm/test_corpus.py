@@ -239,6 +239,52 @@ def test_mixing_hits_its_targets(spark):
     assert shards == set(range(2**mixing.LEVELS))
 
 
+def test_shards_come_from_the_tree(spark):
+    """Blocks are whole in a shard, and each shard has as many of a source as its quota says."""
+    rng = random.Random(16)
+    rows = [(k, text(rng, rng.randrange(1, 60)), rng.choice(["a", "a", "a", "b", "c", None])) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), F.col("doc_id").cast("string"), "text"), 64 - mixing.PLACES)
+    slim = mixing.written(docs.select("doc_id", src.alias("src"), mixing.words_in(F.col("text")).alias("size"), place.alias("place")))
+    goals, _ = mixing._goals(slim, mixing.WEIGHTS, mixing.MOST, 3)
+    quotas = {(r.src, r.shard): r.quota for r in mixing.split_quotas(goals.select("src", "quota"), 3).collect()}
+    dealt = mixing._dealt(slim, goals, 3).collect()
+    sources = {r.src: r for r in goals.collect()}
+    seen, empty = {}, 0
+    for r in dealt:
+        for item in r["items"]:
+            seen[r.src, item.shard] = seen.get((r.src, item.shard), 0) + 1
+    for s, g in sources.items():
+        blocks = {r.block for r in dealt if r.src == s}
+        empty += sum(b not in blocks for b in range(2**g.bits))
+        assert g.quota == g.passes * 2**g.bits + (g["last"] >> (mixing.PLACES - g.bits)) + 1
+    assert all(seen.get(k, 0) <= q for k, q in quotas.items()) and sum(quotas.values()) - sum(seen.values()) <= 4 * empty
+    assert sum(quotas.values()) == sum(g.quota for g in sources.values())
+    # documents of a block and pass are in one shard, that of the deal
+    of = {(r.src, r.block, i["pass"]): i.shard for r in dealt for i in r["items"]}
+    at = {r.doc_id: (r.src, r.place >> (mixing.PLACES - sources[r.src].bits)) for r in slim.collect()}
+    mixed = mixing.mix(docs, levels=3).collect()
+    takes = [(of[(*at[r.doc_id], t["pass"])], t["shard"]) for r in mixed for t in r.takes]
+    assert len({s for _, s in takes}) == 8 and all(a == b for a, b in takes)
+
+
+def test_draws_of_many_stay_in_bounds(spark):
+    n = F.lit(40_000_000).cast("long")
+    draws = spark.range(200).select(mixing._hypergeometric(n, F.lit(16_000_000).cast("long"), F.lit(20_000_000).cast("long"), mixing._unit("id")).alias("x"))
+    x = np.array([r.x for r in draws.collect()], float)
+    sigma = (2e7 * 0.4 * 0.6 * 0.5) ** 0.5
+    assert abs(x.mean() - 8e6) < 4 * sigma / 200**0.5 and 0.8 * sigma < x.std() < 1.2 * sigma
+
+
+def test_partial_takes_are_cut(spark):
+    rng = random.Random(18)
+    docs = spark.createDataFrame([(k, text(rng, 90), f"s{k % 7}") for k in range(70)], "doc_id long, text string, source string")
+    rows = mixing.shards(mixing.mix(docs, keep=("text",)), "text").collect()
+    assert all(len(r.text.split()) == r.words for r in rows) and any(r.words < r.size for r in rows)
+    assert {r.doc_id: r.text for r in rows if r.words == r.size}.items() <= {r.doc_id: r.text for r in docs.collect()}.items()
+
+
 def test_quotas_are_split_exactly_and_evenly(spark):
     quotas = spark.createDataFrame([("a", 1000), ("b", 37), ("c", 0), ("d", 1)], "src string, quota long")
     own = mixing.split_quotas(quotas, 3).collect()
@@ -285,12 +331,46 @@ def test_language_of_odd_documents(spark):
 
 
 def test_tables_equal_the_convolution():
+    """Tables of byte responses against filters slid over embedded bytes, one by one."""
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 256, (60, language_id.WINDOW), dtype=np.uint8)
     rows[:30] %= 50
-    network = language_id.fit(rows, ["low"] * 30 + ["any"] * 30)
-    assert (np.array(network.labels)[network.probabilities(rows).argmax(1)] == np.array(["low"] * 30 + ["any"] * 30)).mean() > 0.95
-    assert np.allclose(network.probabilities(rows).sum(1), 1, atol=1e-5)
+    labels = ["low"] * 30 + ["any"] * 30
+    network = language_id.fit(rows, labels)
+    assert (np.array(network.labels)[network.probabilities(rows).argmax(1)] == np.array(labels)).mean() > 0.95
+    p = language_id.weights(rows, labels)
+    for row in rows[::7]:
+        embedded = p["embed"][row]
+        h = []
+        for w in language_id.WIDTHS:
+            responses = [embedded[k : k + w].ravel() @ p[f"f{w}"] for k in range(language_id.WINDOW - w + 1)]
+            h.append(np.maximum(np.max(responses, axis=0) + p[f"b{w}"], 0))
+        z = np.concatenate(h) @ p["out"] + p["bias"]
+        expected = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(network.probabilities(row[None])[0], expected, atol=1e-4)
+
+
+def test_scores_are_means_of_windows(spark):
+    """A document's probabilities by hand from its windows'."""
+    rng = np.random.default_rng(2)
+    rows = rng.integers(97, 123, (40, language_id.WINDOW), dtype=np.uint8)
+    rows[:20] %= 110
+    network = language_id.fit(rows, ["a"] * 20 + ["b"] * 20)
+    raw = "".join(chr(c) for c in rng.integers(97, 123, 300))
+    got = language_id.identify(odd.of(spark, [raw]), network).first()
+    own = [raw[k : k + language_id.WINDOW].encode() for k in range(0, 300, language_id.WINDOW)]
+    prob = [network.probabilities(np.frombuffer(w.ljust(language_id.WINDOW, b"\0"), np.uint8)[None])[0] for w in own]
+    mean = sum(len(w) * p for w, p in zip(own, prob, strict=True)) / 300
+    assert got.lang_pred == network.labels[int(mean.argmax())] and abs(got.score - mean.max()) < 1e-5
+
+
+def test_every_language_is_learned(spark):
+    """Far more languages than documents a language in the sample."""
+    rows = [(k * 50 + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 60, f"l{k}") for k in range(400) for j in range(2)]
+    docs = spark.createDataFrame([(i, t, x) for i, t, x in rows], "doc_id long, text string, lang string")
+    held = docs.filter(~language_id.held_out()).select("lang").distinct().count()
+    sample = language_id._sample(docs, "doc_id", "text", "lang")
+    assert sample.select("lang").distinct().count() == held > 300
 
 
 def test_gradients_of_the_recurrent_network():
@@ -319,11 +399,51 @@ def test_gradients_of_the_recurrent_network():
             assert abs((up - down) / (2 * e) - grad[key][at]) < 3e-3 + 0.05 * abs(grad[key][at]), key
 
 
+def test_scores_against_a_plain_network():
+    """Windows, gates, attention and the highest window, one step at a time."""
+    rng = random.Random(3)
+    texts = [[rng.choice(["bad", "word", "x", "fine", "other"]) for _ in range(n)] for n in (5, 64, 65, 200, 130, 1)] * 4
+    labels = [int("bad" in t) for t in texts]
+    labels[-1] = 0
+    model = toxicity.fit(texts, labels)
+    p, h = {k: v.astype(float) for k, v in model.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def layer(xs, key, cut):
+        u, state, out = p[key], np.zeros(h), []
+        for x in xs:
+            gx, g = x[cut], state @ u
+            z, r = sigmoid(gx[:h] + g[:h]), sigmoid(gx[h : 2 * h] + g[h : 2 * h])
+            c = np.tanh(gx[2 * h :] + r * g[2 * h :])
+            state = (1 - z) * c + z * state
+            out.append(state)
+        return out
+
+    def window_logit(words):
+        xs = []
+        for k in range(toxicity.WINDOW):
+            rows = model.rows(words[k]) if k < len(words) else []
+            e = np.tanh(p["emb"][rows].sum(0)) if rows else np.zeros(toxicity.EMBED)
+            xs.append(e @ p["wx"] + p["bx"])
+        fw = layer(xs, "uf", slice(0, 3 * h))
+        bw = layer(xs[::-1], "ub", slice(3 * h, 6 * h))[::-1]
+        both = [np.concatenate(x) for x in zip(fw, bw, strict=True)][: max(1, len(words))]
+        a = np.array([x @ p["att"] for x in both])
+        a = np.exp(a - a.max()) / np.exp(a - a.max()).sum()
+        return sum(w * x for w, x in zip(a, both, strict=True)) @ p["out"] + p["bias"][0]
+
+    own = [*texts[:6], []]
+    got, worst = toxicity.Scorer(model).logits(own)
+    for words, logit, first in zip(own, got, worst, strict=True):
+        every = {s: window_logit(words[s : s + 64]) for s in range(0, max(1, len(words) - 16), 48)}
+        assert abs(max(every.values()) - logit) < 1e-3 and abs(every[int(first)] - logit) < 1e-3
+
+
 def test_toxicity_on_held_out_documents(spark, data):
     folder = data.replace("sf0.001", "sf0.1")
     found = toxicity.op6_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").collect()
     toxic, clean = [r for r in found if r.toxic == 1], [r for r in found if r.toxic == 0]
-    assert sum(r.predicted for r in toxic) / len(toxic) > 0.8 and sum(r.predicted for r in clean) / len(clean) < 0.03
+    assert sum(r.predicted for r in toxic) / len(toxic) >= 0.88 and sum(r.predicted for r in clean) / len(clean) < 0.02
     assert all(0 <= r.score <= 1 for r in found)
 
 
