@@ -113,6 +113,11 @@ def test_weak_parts_need_a_complement():
 
 
 def test_secrets_of_odd_documents(spark):
+    texts = [*odd.rows(), (20, "user=alice Kq7Zp2Lm9Rt4Vb8Ns3Xw6 password=abcdefgh1"), (21, "token: " + "a" * 400_000)]
+    own = spark.createDataFrame([(r[0], r[1]) for r in texts], "doc_id long, text string")
+    got = secret_scan.scan(own).collect()
+    expected = [(r[0], [(s, e, k) for s, e, k in secret_scan.scan_text(r[1] or "")[0]]) for r in texts]
+    assert odd.counted((r.doc_id, [(s.start, s.end, s.kind) for s in r.spans]) for r in got) == odd.counted(expected)
     assert secret_scan.scan(odd.docs(spark)).count() == len(odd.rows()) and secret_scan.scan(odd.empty(spark)).count() == 0
     own = spark.createDataFrame([(1, "a password=abcdefgh1 b", 3), (2, None, 1), (3, "clean", 5)], "doc_id long, text string, extra int")
     assert [tuple(r) for r in secret_scan.redacted(own).collect()] == [(1, "a [assign] b", 3), (2, None, 1), (3, "clean", 5)]
