@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -15,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rangewise.plans.registry import shared_dir
+
 #: Rows of one Arrow batch that are worked on together; bounds a worker's memory.
 SLICE_ROWS = 256
 #: Characters (or bytes) of text worked on together.
@@ -27,19 +28,6 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scratch: set[str] = set()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir.
-
-    Only where it is unset (tests, local mode) is one made in the temp folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="rangewise-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage is
     cut, a lost executor loses nothing, and later scans prune columns. Its shuffle files

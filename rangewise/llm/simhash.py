@@ -27,6 +27,10 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints that the tree of shards is built on; a shard's size aimed at; the
 #: sample a shard must have to be split; leaves compared directly.
 SAMPLE, SHARD, LEAST, LEAF = 65_536, 4096, 16, 256
+#: Above SAMPLE * PER_SAMPLE fingerprints the sample grows with them, up to MOST_SAMPLE
+#: (8 MB), so that shards keep their size up to 270 million fingerprints; beyond that
+#: they grow, and are searched in memory by splitting on.
+PER_SAMPLE, MOST_SAMPLE = 256, 1 << 20
 _CANDIDATES = 8
 #: Fingerprints that walk down the tree together.
 DEALT = 1 << 15
@@ -169,10 +173,11 @@ def forest(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def _tree(distinct: DataFrame, radius: int) -> Tree:
-    """On at most about SAMPLE fingerprints, chosen by hash; all are indexed with it."""
+    """On a bounded sample of fingerprints, chosen by hash; all are indexed with it."""
     n = distinct.count()
+    size = max(SAMPLE, min(MOST_SAMPLE, n // PER_SAMPLE))
     rank = F.pmod(F.xxhash64(F.lit(SEED), "fp"), F.lit(1 << 40)) / float(1 << 40)
-    sample = np.sort(distinct.filter(rank < min(1.0, SAMPLE / max(n, 1))).select("fp").toArrow()["fp"].to_numpy())
+    sample = np.sort(distinct.filter(rank < min(1.0, size / max(n, 1))).select("fp").toArrow()["fp"].to_numpy())
     return Tree(sample.view(np.uint64), n / max(len(sample), 1), radius)
 
 
