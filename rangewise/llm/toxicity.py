@@ -36,6 +36,12 @@ COMMON, TELLING = 512, 4096
 GRAMS = (4, 5)
 #: How much rarer than one false find among all candidates a telling feature is (log).
 MARGIN = 2.0
+#: Power of the labels' ratio that weighs documents in the calibration (in training: 1/2).
+CALIBRATED = 0.125
+#: Further windows of a document of label 0.
+MORE = 3
+#: Log odds from which one word is enough.
+STRONG = 4.0
 #: Pull to zero of the embeddings, and of the other weights.
 DECAY_EMBED, DECAY = 1e-3, 1e-4
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 11
@@ -185,9 +191,10 @@ def _telling(texts: list[list[str]], y: np.ndarray) -> tuple[dict[str, float], C
 
 def fit(texts: list[list[str]], labels: list[int]) -> Model:
     """Adam on windows: of a document of label 1 the one with the most telling
-    features, and the same one with its most telling word only, so that one is enough;
-    of the others the one with the most and one more. Then a logistic calibration of
-    the documents' highest logits; the rarer label weighs more, by the root of the ratio."""
+    features, and the same one with its most telling word only, where that tells as much
+    that it is enough; of the others the one with the most and MORE others. Then a logistic
+    calibration of the documents' highest logits. The rarer label weighs more, by powers
+    of the ratio."""
     y = np.array(labels)
     rng = np.random.default_rng(SEED)
     telling, every = _telling(texts, y)
@@ -212,17 +219,17 @@ def fit(texts: list[list[str]], labels: list[int]) -> Model:
         for w in own:
             if w not in rows:
                 rows[w] = model.rows(w)
-                tells[w] = float(odds[[r for r in rows[w] if r < len(telling)]].sum())
+                tells[w] = float(max(odds[[r for r in rows[w] if r < len(telling)]], default=0.0))
         hits = np.cumsum([0, *(sum(r < len(telling) for r in rows[w]) for w in own)])
         starts = list(window_starts(len(own)))
         most = max(starts, key=lambda s: (hits[min(s + WINDOW, len(own))] - hits[s], -s))
-        for s in {most} if label else {most, starts[int(rng.integers(len(starts)))]}:
+        for s in {most} if label else {most, *(starts[int(k)] for k in rng.integers(len(starts), size=MORE))}:
             picked.append(own[s : s + WINDOW])
             targets.append(label)
         if label:
             window = own[most : most + WINDOW]
             best = max(range(len(window)), key=lambda k: (tells[window[k]], -k), default=-1)
-            if best >= 0 and tells[window[best]]:
+            if best >= 0 and tells[window[best]] >= STRONG:
                 picked.append([w for k, w in enumerate(window) if k == best or not tells[w]])
                 targets.append(label)
     t = np.array(targets)
@@ -242,7 +249,7 @@ def fit(texts: list[list[str]], labels: list[int]) -> Model:
                 p[key] -= RATE * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
     scorer = Scorer(model)
     logit = np.concatenate([scorer.logits(texts[k : k + 256])[0] for k in range(0, len(texts), 256)]).astype(float)
-    both = ((len(y) / (2 * np.bincount(y, minlength=2))) ** 0.5)[y]
+    both = ((len(y) / (2 * np.bincount(y, minlength=2))) ** CALIBRATED)[y]
     a, b = 1.0, 0.0
     for _ in range(50):  # damped Newton steps, with a weak pull to slope 1 and shift 0
         q = _sigmoid(a * logit + b)
