@@ -34,14 +34,12 @@ def written(df: DataFrame) -> DataFrame:
     end with it (where Spark can do so)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rangewise-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    if before is not None:  # no later plan reads this one's shuffles
-        spark.conf.set(_CLEANUP, "true")
+    before = spark.conf.get(_CLEANUP, "false")  # with None, get() says None for an unset one
+    spark.conf.set(_CLEANUP, "true")  # no later plan reads this one's shuffles
     try:
         df.write.parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(_CLEANUP, before)
+        spark.conf.set(_CLEANUP, before)
     _scratch.add(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,9 +14,10 @@ all shingles. This links most copies with few comparisons.
 What it leaves apart goes through an exact prefix-filter join. Shingles have one order,
 those seldom in a sample first; two texts that are similar enough share a shingle among
 the first n - ceil(similarity * n) + 1 of each. Every text that meets others there is
-compared with one of them; then all that meet, are not linked yet, and whose sizes
-and places of common first shingles allow the similarity are compared. So every pair
-at the threshold ends in one group, and pairs within a group are not enumerated.
+compared with one of them; then all that meet, are not linked yet, and whose sizes and
+number and places of common first shingles allow the similarity are compared. So every
+pair at the threshold ends in one group, and pairs within a group are not enumerated.
+Sets are only fetched for pairs whose parities allow the similarity too.
 
 Shingles are hashed to 64 bits where texts are looked up by them, however many texts
 there are, and to SET_BITS where two texts' sets are compared. There a chance collision
@@ -27,11 +28,12 @@ comparisons; it never hides a pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangewise.llm.common import WordHashes, dropped, over_texts, runs_of, slices, small_batches, written
@@ -48,8 +50,15 @@ COMMON_PARTS, LONG = 2, 24
 #: Times that texts are compared with one further text each before all pairs are.
 ROUNDS = 1
 SET_BITS = 32
-#: Bits of a text's parities.
+#: Bits of a text's parities, at least; a text of more shingles has a bit for each, up to
+#: a power of two.
 PARITIES = 512
+#: Part of the shingles needed in common that is asked for among the first ones: more leave
+#: fewer pairs, but are looked for further on.
+FEW = 0.02
+#: Portions, by hash, in which first shingles are looked through for those that several
+#: components have: shuffle files take the space of one portion.
+PORTIONS = 4
 #: Rows whose ids are broadcast (some 50 MB); more are joined by shuffle.
 FEW_ROWS = 2_000_000
 _SEED = 9
@@ -80,10 +89,11 @@ def shingles_of(hashes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def parity_of(shingles: np.ndarray) -> np.ndarray:
-    """PARITIES bits, each set if an odd number of shingles fall to it. A shingle that only
-    one of two texts has turns one bit, so two texts differ in as many shingles at least as
-    in bits."""
-    odd = np.bincount((shingles & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    """PARITIES bits or more, each set if an odd number of shingles fall to it. A shingle that
+    only one of two texts has turns one bit, so two texts differ in as many shingles at least
+    as in bits. The half of more bits is the exclusive or of their two halves."""
+    bits = max(PARITIES, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -160,11 +170,18 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose parities allow the similarity."""
+    """Those of the pairs (a, b) whose parities, brought to the same number of bits, allow the
+    similarity."""
     own = base.select("row", "n", "parity")
     of = {x: own.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"of_{x}")) for x in "ab"}
-    turned = F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(turned, F.lit(0), lambda n, k: n + k)
+    size = F.least(F.size("of_a"), F.size("of_b"))
+
+    def folded(held, of: str):
+        parts = F.sequence(F.lit(0), (F.size(of) / size).cast("int") - 1)
+        return F.aggregate(parts, held, lambda held, k: F.zip_with(held, F.slice(of, k * size + 1, size), lambda x, y: x.bitwiseXOR(y)))
+
+    turned = folded(folded(F.array_repeat(F.lit(0).cast("long"), size), "of_a"), "of_b")
+    apart = F.aggregate(turned, F.lit(0), lambda n, x: n + F.bit_count(x))
     most = (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
     found = written(pairs.join(of["a"], "a").join(of["b"], "b").filter(apart <= most).select("a", "b"))
     dropped(pairs)
@@ -173,6 +190,7 @@ def _possible(pairs: DataFrame, base: DataFrame, similarity: float) -> DataFrame
 
 def _compared(pairs: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of rows of base that are similar enough."""
+    pairs = _possible(pairs, base, similarity)
     wanted = written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
     few = wanted.count() <= FEW_ROWS
     sets = written(base.select("row", "shingles").join(F.broadcast(wanted) if few else wanted, "row", "left_semi"))
@@ -211,18 +229,35 @@ def _led(first: DataFrame, radius: int, similarity: float) -> DataFrame:
     return found
 
 
-def _apart(tokens: DataFrame, roots: DataFrame) -> DataFrame:
-    """tokens (row, n, at, token) of shingles found in several components, with root."""
-    own = tokens.select("row", "n", "at", "token").join(roots.withColumnRenamed("vertex", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+def _portion(placed: DataFrame, k: int) -> DataFrame:
+    """(row, n, root, at, token) of the k-th portion of first shingles of placed (row, n, root,
+    tokens)."""
+    each = placed.select("row", "n", "root", F.posexplode("tokens").alias("at", "token"))
+    return each.filter(F.pmod("token", F.lit(PORTIONS)) == k)
+
+
+def _apart(own: DataFrame) -> DataFrame:
+    """Those of own (row, n, root, at, token) whose shingles are found in several components."""
     apart = own.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     return written(own.join(apart, "token", "left_semi"))
 
 
+def _needed(similarity: float):
+    """Shingles that two texts have in common at least, if they are similar enough."""
+    return similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
+
+
 def _able(similarity: float):
     """At their first common shingle, at places at_a and at_b of one order, two texts have at
     most the shingles from there on in common: whether those are enough."""
-    needed = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    return F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed
+    return F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= _needed(similarity)
+
+
+def _few(similarity: float):
+    """Common first shingles that two texts are asked for: FEW of those they need, and one; no
+    more than they must have among those that are kept."""
+    kept = _needed(similarity) + 1 - F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-6)
+    return F.least(kept, 1 + FEW * _needed(similarity))
 
 
 def _nearest(own: DataFrame, similarity: float) -> DataFrame:
@@ -240,15 +275,16 @@ def _nearest(own: DataFrame, similarity: float) -> DataFrame:
 def _rest(own: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all pairs of texts in different components that may be similar enough.
 
-    A pair is looked at where its first common shingle is, so not where the shingle before,
-    of those several texts have, is common too; and left out where it meets too far on."""
-    before = F.lag("token").over(Window.partitionBy("row").orderBy("at"))
-    own = own.withColumn("before", before)
-    a, b = (own.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "root", "at", "before")]) for x in "ab")
-    first = F.coalesce(F.col("before_a") != F.col("before_b"), F.lit(True))
+    Of two texts' first shingles, as far as _few() more than their first common one may
+    come, the text whose end sooner has all that are common among the other's. So those
+    have _few() in common at least, which long texts seldom have by chance."""
+    a, b = (own.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "root", "at")]) for x in "ab")
     apart = (F.col("row_a") < F.col("row_b")) & (F.col("root_a") != F.col("root_b"))
-    met = a.join(b, "token").filter(apart & first & _fits(similarity) & _able(similarity))
-    return written(met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct())
+    early = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) > _needed(similarity) - _few(similarity)
+    met = a.join(b, "token").filter(apart & _fits(similarity) & early)
+    met = met.groupBy("row_a", "row_b", "n_a", "n_b").agg(F.count("*").alias("both"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+    found = met.filter(_able(similarity) & (F.col("both") >= _few(similarity)))
+    return written(found.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")))
 
 
 def grouped(
@@ -270,16 +306,23 @@ def grouped(
     classes = written(base.groupBy("key").agg(F.min("row").alias("row")))
     rows = classes.select("row")
     first = written(base.select("row", "n", "parts").join(rows, "row", "left_semi").select("row", "n", F.explode("parts").alias("fp")))
-    roots = components(_compared(_led(first, radius, similarity), base, similarity))
-    tokens = base.select("row", "n", "tokens").join(rows, "row", "left_semi")
-    tokens = written(tokens.select("row", "n", F.posexplode("tokens").alias("at", "token")))
+    links = _compared(_led(first, radius, similarity), base, similarity)
+    dropped(first)
+    tokens, roots, before = None, components(links), links
     for last in [False] * ROUNDS + [True]:
-        apart = _apart(tokens, roots)
-        found = _compared(_possible(_rest(apart, similarity), base, similarity) if last else _nearest(apart, similarity), base, similarity)
+        of = rows.join(roots.withColumnRenamed("vertex", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        if tokens is None:
+            tokens = written(base.select("row", "n", "tokens").join(of, "row"))
+            apart = reduce(DataFrame.unionByName, [_apart(_portion(tokens, k)) for k in range(PORTIONS)])
+        else:  # no other shingle can join two components any more
+            apart = _apart(tokens.drop("root").join(of, "row"))
+        dropped(tokens)
+        found = _compared((_rest if last else _nearest)(apart, similarity), base, similarity)
+        dropped(before)
         before, roots = roots, components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).union(found))
-        dropped(tokens, found, before)
-        tokens = apart  # no other shingle can join two components any more
-    dropped(apart, first)
+        dropped(found)
+        tokens = apart
+    dropped(tokens, before)
     roots = classes.join(roots.withColumnRenamed("vertex", "row"), "row", "left").select("key", F.coalesce("root", "row").alias("root"))
     found = written(base.select("doc_id", *more, "key").join(roots, "key"))
     dropped(base, classes)

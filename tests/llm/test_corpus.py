@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -10,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rangewise.llm import components, language_id, mixing, near_copies, simhash, substring_dedup, toxicity
+from rangewise.llm.common import written
 from tests.llm import odd
 
 WORDS = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "in")]
@@ -544,6 +547,69 @@ def test_near_copies_of_short_texts(spark):
     assert [got[k] for k in range(len(texts))] == expected and len(set(expected)) < len(texts)
 
 
+def _sets(spark, sets):
+    rows = [(k, len(x), near_copies.parity_of(np.array(sorted(x), np.uint64)).tolist()) for k, x in enumerate(sets)]
+    return spark.createDataFrame(rows, "row long, n int, parity array<long>")
+
+
+def test_parities_tell_long_texts_apart(spark):
+    """Also those of more shingles than PARITIES, and of texts with different numbers of bits."""
+    rng = random.Random(14)
+    draw = lambda n: {rng.getrandbits(64) for _ in range(n)}
+    sets, similar = [], set()
+    for n in (30, 500, 950, 3000, 9000):
+        own = draw(n)
+        few = {*sorted(own)[: n - n // 11], *draw(n // 11)}  # 0.83
+        similar |= {(len(sets), len(sets) + 1), (len(sets), len(sets) + 2)}
+        sets += [own, few, own | draw(n // 5), draw(n)]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 0.8 <= len(sets[i]) / len(sets[j]) <= 1.25]
+    assert {len(near_copies.parity_of(np.array(sorted(x), np.uint64))) for x in sets} == {8, 16, 32, 64, 256}
+    found = near_copies._possible(written(spark.createDataFrame(pairs, "a long, b long")), _sets(spark, sets), 0.8)
+    got = {tuple(r) for r in found.collect()}
+    assert similar <= got and not {(i, j) for i, j in got if len(sets[i]) > 400 and not sets[i] & sets[j]}
+
+
+def test_long_texts_of_few_common_shingles_are_no_pairs(spark):
+    """All similar pairs come out of the first shingles, and none with one chance shingle."""
+    rng = random.Random(15)
+    sets = []
+    for n in (1, 2, 5, 9, 40, 41, 300, 800):
+        for _ in range(4):
+            own = sorted(rng.sample(range(10**9), n))
+            cut, more = rng.sample(range(10**9), n // 10), rng.sample(range(10**9), n // 4)
+            sets += [own, own[n // 5 :], sorted({*own, *more}), sorted({*own[n // 20 :], *cut}), own[: n - n // 5]]
+    for k in (-1, -6):  # the very first shingle in common, and no other
+        sets[k] = sorted({*sets[k], 7})
+    first = lambda x: x[: len(x) - int(np.ceil(0.8 * len(x) - 1e-6)) + 1]
+    rows = [(k, len(x), k, at, t) for k, x in enumerate(sets) for at, t in enumerate(first(x))]
+    own = near_copies._apart(spark.createDataFrame(rows, "row long, n int, root long, at int, token long"))
+    got = {tuple(r) for r in near_copies._rest(own, 0.8).collect()}
+    as_sets = [set(x) for x in sets]
+    similar = {(i, j) for j in range(len(sets)) for i in range(j) if len(as_sets[i] & as_sets[j]) >= 0.8 * len(as_sets[i] | as_sets[j])}
+    assert len(similar) > 100 and similar <= got and (len(sets) - 6, len(sets) - 1) not in got
+
+
+def test_portions_of_shingles_are_whole(spark):
+    placed = spark.createDataFrame([(k, 40, k % 7, [t * 31 - 400 for t in range(k, k + 30)]) for k in range(50)], "row long, n int, root long, tokens array<long>")
+    parts = [near_copies._portion(placed, k).collect() for k in range(near_copies.PORTIONS)]
+    rows = [tuple(r) for part in parts for r in part]
+    assert sorted(rows) == sorted((r.row, 40, r.root, at, t) for r in placed.collect() for at, t in enumerate(r.tokens))
+    assert all(not {r.token for r in a} & {r.token for r in b} and a for k, a in enumerate(parts) for b in parts[:k])
+
+
+def test_shuffle_files_end_with_a_written_table(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"/shuffle_\d+_", disk.getAllFiles().mkString("\n")))
+    kept = spark.range(1000).repartition(3)
+    kept.count()
+    before = shuffles()
+    table = written(spark.range(50_000).selectExpr("id % 999 AS k", "id").groupBy("k").sum("id"))
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert before and not shuffles() - before and table.count() == 999
+
+
 def test_one_row_of_each_group_stays(spark):
     import corpus_pipeline
 
